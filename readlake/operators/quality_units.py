@@ -70,26 +70,30 @@ def _phred(value: Column, dim: Column) -> Column:
     return F.floor(level + 0.5).cast("int")
 
 
-def normalize_quality(reads: DataFrame, runs: DataFrame) -> DataFrame:
+def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """read_id, run_id, sequence, unit (dim, scale, offset, origin), standard (one character per base, Phred, origin 33), phred array<int>, phred_total.
 
     A read's description overrules its run's note; where neither names a unit, the characters of the run decide between origin 33 and
     64 by majority of its reads (those with a character below '@' against those with one above 'J'; a tie is 33). phred is null,
     and so is phred_total, where the quality is null, empty, '*', has another number of scores than the sequence has bases, or holds
     something that isn't a value of its unit. Repeated rows give repeated rows; a run listed twice counts once (its greatest note);
-    other columns are ignored. Null run_ids are one run without note.
+    other columns are ignored. Null run_ids are one run without note. Where reads are a part of all reads, evidence holds all, for the
+    vote.
     """
     unit_of = _units()
     notes = runs.groupBy("run_id").agg(F.max("run_note").alias("note")).select(F.col("run_id").alias("r_id"), unit_of("note").alias("r_unit"))
-    r = reads.select("read_id", "run_id", "sequence", "quality", unit_of("description").alias("d_unit")).join(
-        notes, F.col("run_id") == F.col("r_id"), "left"
-    )
-    # a null struct comes back as a struct of nulls
-    own = F.when(F.col("d_unit.dim").isNotNull(), F.col("d_unit")).when(F.col("r_unit.dim").isNotNull(), F.col("r_unit"))
-    r = r.select("read_id", "run_id", "sequence", "quality", own.alias("unit"))
+
+    def own_unit(rows: DataFrame) -> DataFrame:
+        r = rows.select("read_id", "run_id", "sequence", "quality", unit_of("description").alias("d_unit")).join(notes, F.col("run_id") == F.col("r_id"), "left")
+        # a null struct comes back as a struct of nulls
+        own = F.when(F.col("d_unit.dim").isNotNull(), F.col("d_unit")).when(F.col("r_unit.dim").isNotNull(), F.col("r_unit"))
+        return r.select("read_id", "run_id", "sequence", "quality", own.alias("unit"))
+
+    r = own_unit(reads)
+    voters = r if evidence is None else own_unit(evidence)
     given = (F.length("quality") > 0) & (F.col("quality") != "*") & F.col("sequence").isNotNull()
     votes = (
-        r.where(F.col("unit").isNull() & given & (F.length("quality") == F.length("sequence")))
+        voters.where(F.col("unit").isNull() & given & (F.length("quality") == F.length("sequence")))
         .groupBy("run_id")
         .agg(F.sum(F.col("quality").rlike("[!-?]").cast("int")).alias("low"), F.sum(F.col("quality").rlike("[K-~]").cast("int")).alias("high"))
         .select(F.col("run_id").alias("v_id"), F.when(F.col("high") > F.col("low"), 64).otherwise(33).alias("seen"))

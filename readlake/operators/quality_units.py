@@ -5,6 +5,8 @@ by built-in expressions. The only shuffles are the vote of runs that have no not
 whatever join with the run table Spark picks; the run table holds a row per run, not per read.
 """
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ def _phred(value: Column, dim: Column) -> Column:
     return F.floor(level + 0.5).cast("int")
 
 
-def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """read_id, run_id, sequence, unit (dim, scale, offset, origin), standard (one character per base, Phred, origin 33), phred array<int>, phred_total.
 
     A read's description overrules its run's note; where neither names a unit, the characters of the run decide between origin 33 and
@@ -78,19 +80,19 @@ def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | N
     and so is phred_total, where the quality is null, empty, '*', has another number of scores than the sequence has bases, or holds
     something that isn't a value of its unit. Repeated rows give repeated rows; a run listed twice counts once (its greatest note);
     other columns are ignored. Null run_ids are one run without note. Where reads are a part of all reads, evidence holds all, for the
-    vote.
+    vote. Columns in keep are passed on.
     """
     unit_of = _units()
     notes = runs.groupBy("run_id").agg(F.max("run_note").alias("note")).select(F.col("run_id").alias("r_id"), unit_of("note").alias("r_unit"))
 
-    def own_unit(rows: DataFrame) -> DataFrame:
-        r = rows.select("read_id", "run_id", "sequence", "quality", unit_of("description").alias("d_unit")).join(notes, F.col("run_id") == F.col("r_id"), "left")
+    def own_unit(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        r = rows.select(*keep, "read_id", "run_id", "sequence", "quality", unit_of("description").alias("d_unit")).join(notes, F.col("run_id") == F.col("r_id"), "left")
         # a null struct comes back as a struct of nulls
         own = F.when(F.col("d_unit.dim").isNotNull(), F.col("d_unit")).when(F.col("r_unit.dim").isNotNull(), F.col("r_unit"))
-        return r.select("read_id", "run_id", "sequence", "quality", own.alias("unit"))
+        return r.select(*keep, "read_id", "run_id", "sequence", "quality", own.alias("unit"))
 
-    r = own_unit(reads)
-    voters = r if evidence is None else own_unit(evidence)
+    r = own_unit(reads, keep)
+    voters = own_unit(reads) if evidence is None else own_unit(evidence)
     given = (F.length("quality") > 0) & (F.col("quality") != "*") & F.col("sequence").isNotNull()
     votes = (
         voters.where(F.col("unit").isNull() & given & (F.length("quality") == F.length("sequence")))
@@ -102,13 +104,13 @@ def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | N
     guess = F.struct(
         F.lit("level").alias("dim"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.coalesce("seen", F.lit(33)).alias("origin")
     )
-    r = r.select("read_id", "run_id", "sequence", "quality", F.coalesce("unit", guess).alias("unit"))
+    r = r.select(*keep, "read_id", "run_id", "sequence", "quality", F.coalesce("unit", guess).alias("unit"))
     unit = F.col("unit")
     standard = (unit["dim"] == "level") & (F.coalesce(unit["origin"], F.lit(0)) == 33)
     r = r.withColumns({"standard": standard, "values": F.when(given, _scores(F.col("quality"), unit))})
     fits = F.size("values") == F.length("sequence")
     phred = F.when(fits, F.transform("values", lambda v: _phred(v, unit["dim"])))
-    r = r.select("read_id", "run_id", "sequence", "unit", "standard", phred.alias("p"))
+    r = r.select(*keep, "read_id", "run_id", "sequence", "unit", "standard", phred.alias("p"))
     # a score that isn't a number of its unit, or is below the least of its scale, spoils the read
     least = F.when(unit["origin"].isNotNull() & (unit["dim"] == "level"), 0).otherwise(-5)
     ok = ~F.exists("p", lambda x: x.isNull() | (x < least))

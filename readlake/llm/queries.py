@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import chunking, leakage, survivor, tokenization
+from readlake.llm import chunking, leakage, subjects, survivor, tokenization
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,7 +34,11 @@ def p9_found(s: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(s, d, "documents"), table(s, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p8_ids, p8_round_trip, p9_found)}
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return subjects.treated_subjects(table(s, d, "documents"), table(s, d, "subject_label"), table(s, d, "subject_area"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
 _CLEAN = "regexp_replace(lower(trim({})), '\\.dna$', '')"
 SQL = {
     "p5_found": f"""

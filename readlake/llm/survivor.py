@@ -5,14 +5,17 @@ discovery with copy detection, the runs being the sources and the bases the valu
 gives each run an accuracy, and from false bases that two runs share the probability that one copies the other; a second vote weighs
 by accuracy and discounts copied votes. Fields of the survivor are those of maximum posterior.
 
-Groups are never collected: coordinates, votes and choices are map-side combined aggregates, bases are spread by (group, position), and
-the statistics of sources hold a row per run or per pair of runs that share a false base with the first run giving it (a star, not all
-pairs). A hot group costs each task at most one row per position, base and run.
+Groups are never collected: coordinates and choices are map-side combined aggregates, and evidence is added up within each task before it
+is shuffled, so that a hot group costs a task at most one profile per run. Statistics of sources hold a row per run; dependence is
+kept per run, against the first run that gives a value, so no pairs of runs or reads are ever formed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.operators.quality_units import normalize_quality
@@ -22,7 +25,8 @@ from readlake.session import clean_genome, clean_sequence, durable
 COPY_PRIOR, COPY_SHARE = 0.1, 0.8
 #: Phred score of a base without quality, and the cap of a posterior.
 DEFAULT_PHRED, MAX_PHRED = 30, 93
-GROUP = ["group_read_id", "n_members", "fingerprint"]
+#: A group by its smallest read_id and the combined hash of all.
+GROUP = ["group_read_id", "fingerprint"]
 
 
 def duplicate_members(hits: DataFrame) -> DataFrame:
@@ -42,78 +46,195 @@ def duplicate_members(hits: DataFrame) -> DataFrame:
         .agg(F.min("read_id").alias("group_read_id"), F.count(F.lit(1)).alias("n_members"), F.bit_xor(F.xxhash64("read_id")).alias("fingerprint"))
         .where("n_members > 1")
     )
-    return per.join(sets, at).groupBy(*GROUP, "read_id").agg(F.max("map_quality").alias("map_quality"))
+    return per.join(sets, at).groupBy(*GROUP, "n_members", "read_id").agg(F.max("map_quality").alias("map_quality"))
 
 
-def _votes(members: DataFrame) -> DataFrame:
-    """GROUP, pos, base, source, weight: the evidence of each source for each base, Ns left out. Partitioned by (GROUP, pos)."""
-    bases = F.split(F.upper("sequence"), "")
-    cap = F.coalesce("map_quality", F.lit(MAX_PHRED))
-    zipped = F.transform(
-        F.arrays_zip(bases.alias("b"), F.coalesce("phred", F.array_repeat(F.lit(DEFAULT_PHRED), F.length("sequence"))).alias("q")),
-        lambda x: F.struct(x["b"].alias("base"), F.least(x["q"], cap).alias("q")),
-    )
-    e = members.where(F.length("sequence") > 0).select(*GROUP, F.coalesce("run_id", F.lit(-1)).alias("source"), F.posexplode(zipped).alias("pos", "x"))
-    e = e.where(F.col("x.base").isin("A", "C", "G", "T")).select(*GROUP, "pos", F.col("x.base").alias("base"), "source", F.col("x.q").cast("double").alias("q"))
-    # evidence in Phred of a call against one of the three other bases
-    one = F.greatest(F.lit(0.1), F.col("q")) + F.lit(4.77)
-    return e.groupBy(*GROUP, "pos", "base", "source").agg(F.sum(one).alias("weight"))
-
-
-def _winner(votes: DataFrame, weight: str) -> DataFrame:
-    """votes with total (evidence for the row's base), truth (the base of most evidence, ties to the first letter) and lead (first source of the base)."""
-    at = Window.partitionBy(*GROUP, "pos")
-    per = Window.partitionBy(*GROUP, "pos", "base")
-    v = votes.withColumn("total", F.sum(weight).over(per)).withColumn("lead", F.min("source").over(per))
-    return v.withColumn("truth", F.max(F.struct(F.round("total", 6), -F.ascii("base"), F.col("base"))).over(at)["base"])
-
-
-def source_statistics(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(source, accuracy) and (source, lead, copying): how often a source agrees with the truth, and the probability that it copies lead.
-
-    Each shared false base speaks for copying by the odds of sharing it as a copier and by chance; each false base of its own speaks
-    against it."""
-    false = F.col("base") != F.col("truth")
-    acc = judged.groupBy("source").agg(F.sum((~false).cast("int")).alias("right"), F.sum(false.cast("int")).alias("wrong"))
-    acc = acc.select("source", "wrong", ((F.col("right") + 9) / (F.col("right") + F.col("wrong") + 10)).alias("accuracy"))
-    shared = judged.where(false & (F.col("source") != F.col("lead"))).groupBy("source", "lead").agg(F.count(F.lit(1)).alias("shared"))
-    p = (1 - F.col("accuracy")) / 3
+def _profiles(members: DataFrame) -> DataFrame:
+    """GROUP, sources array<bigint>, profiles array<binary>: the evidence of each source for each base at each position of a group.
+
+    A profile is a float32 matrix of positions by A, C, G, T, in Phred; Ns give none. Each task first adds up its own rows per (group,
+    source), so that a hot group leaves it as one profile per source; those stream, sorted, through the task of the group.
+    """
+    default, bases = DEFAULT_PHRED, "ACGT"
+    held_most = 20_000
+    schema = "group_read_id bigint, fingerprint bigint, source bigint, profile binary"
+
+    def matrix(sequence, phred, map_quality):
+        import numpy as np
+
+        codes = np.full(256, 4, np.int8)
+        for i, c in enumerate(bases):
+            codes[ord(c)] = codes[ord(c.lower())] = i
+        base = codes[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)]
+        q = np.full(len(base), default, np.float32) if phred is None else phred.astype(np.float32)
+        if map_quality is not None:
+            q = np.minimum(q, map_quality)
+        # evidence of a call against one of the three other bases
+        q = np.maximum(q, 0.1) + 4.77
+        out = np.zeros((len(base), 5), np.float32)
+        out[np.arange(len(base)), base] = q
+        return out[:, :4]
+
+    def add(x, y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x.copy()
+        x[: len(y)] += y
+        return x
+
+    def first(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def flush():
+            keys = list(held)
+            for i in range(0, len(keys), 5000):
+                part = keys[i : i + 5000]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([k[j] for k in part], pa.int64()) for j in range(3)), pa.array([held[k].tobytes() for k in part], pa.binary())],
+                    names=["group_read_id", "fingerprint", "source", "profile"],
+                )
+            held.clear()
+
+        for b in batches:
+            g, f, source, sequence, mq = (b.column(c).to_pylist() for c in ("group_read_id", "fingerprint", "source", "sequence", "map_quality"))
+            phred = b.column("phred")
+            offs, flat, there = np.asarray(phred.offsets), np.asarray(phred.values), phred.is_valid().to_pylist()
+            for i in range(b.num_rows):
+                if sequence[i]:
+                    m = matrix(sequence[i], flat[offs[i] : offs[i + 1]] if there[i] else None, mq[i])
+                    k = (g[i], f[i], source[i])
+                    held[k] = add(held[k], m) if k in held else m
+            if len(held) >= held_most:
+                yield from flush()
+        yield from flush()
+
+    def second(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        group, sources, profiles, rows = None, [], [], []
+
+        def close():
+            if group is not None:
+                rows.append((*group, sources[:], [x.tobytes() for x in profiles]))
+
+        def flush():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
+                names=["group_read_id", "fingerprint", "sources", "profiles"],
+            )
+            rows.clear()
+            return out
+
+        for b in batches:
+            for g, f, source, p in zip(*(b.column(c).to_pylist() for c in ("group_read_id", "fingerprint", "source", "profile")), strict=True):
+                m = np.frombuffer(p, np.float32).reshape(-1, 4)
+                if (g, f) != group:
+                    close()
+                    group, sources, profiles = (g, f), [], []
+                if sources and sources[-1] == source:
+                    profiles[-1] = add(profiles[-1], m)
+                else:
+                    sources.append(source)
+                    profiles.append(m)
+            if len(rows) >= 1000:
+                yield flush()
+        close()
+        yield flush()
+
+    e = members.select("group_read_id", "fingerprint", F.coalesce("run_id", F.lit(-1)).cast("bigint").alias("source"), "sequence", "phred", F.col("map_quality").cast("int").alias("map_quality"))
+    spread = e.mapInArrow(first, schema).repartition(*GROUP).sortWithinPartitions(*GROUP, "source")
+    return spread.mapInArrow(second, "group_read_id bigint, fingerprint bigint, sources array<bigint>, profiles array<binary>")
+
+
+def _stack(profiles):
+    """Sources x positions x bases; positions that a source doesn't reach hold no evidence."""
+    import numpy as np
+
+    parts = [np.frombuffer(p, np.float32).reshape(-1, 4) for p in profiles]
+    out = np.zeros((len(parts), max(map(len, parts)), 4), np.float32)
+    for i, p in enumerate(parts):
+        out[i, : len(p)] = p
+    return out
+
+
+def source_statistics(profiles: DataFrame) -> DataFrame:
+    """source, accuracy, copying: how often a source agrees with the first vote, and the probability that it copies others.
+
+    Accuracies are smoothed by nine right values in ten. Each false base that another source gives too, an earlier one, speaks for
+    copying by the odds of sharing it as a copier and by chance; each false base of its own speaks against it."""
+    stack = _stack
+
+    def count(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict = {}
+        for b in batches:
+            for sources, profiles in zip(b.column("sources").to_pylist(), b.column("profiles").to_pylist(), strict=True):
+                x = stack(profiles)
+                said = x > 0
+                truth = x.sum(axis=0).argmax(axis=1)
+                right = said[:, np.arange(x.shape[1]), truth]
+                false = said.copy()
+                false[:, np.arange(x.shape[1]), truth] = False
+                shared = false & (np.cumsum(false, axis=0) > 1)  # sources are in order; the first to give a value leads
+                for s, *n in zip(sources, right.sum(axis=1), false.sum(axis=(1, 2)), shared.sum(axis=(1, 2)), strict=True):
+                    t = total.setdefault(s, [0, 0, 0])
+                    for i in range(3):
+                        t[i] += int(n[i])
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([total[k][i] for k in keys], pa.int64()) for i in range(3))], names=["source", "right", "wrong", "shared"])
+
+    parts = profiles.select("sources", "profiles").mapInArrow(count, "source bigint, right bigint, wrong bigint, shared bigint")
+    t = parts.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("right", "wrong", "shared")])
+    accuracy = (F.col("right") + 9) / (F.col("right") + F.col("wrong") + 10)
+    p = (1 - accuracy) / 3
     for_ = F.col("shared") * F.log((COPY_SHARE + (1 - COPY_SHARE) * p) / p)
     against = (F.col("wrong") - F.col("shared")) * F.log(F.lit(1 - COPY_SHARE))
-    odds = F.least(F.lit(50.0), F.lit(_log_odds(COPY_PRIOR)) + for_ + against)
-    dep = shared.join(acc, "source").select("source", "lead", (1 / (1 + F.exp(-odds))).alias("copying"))
-    return acc.select("source", "accuracy"), dep
+    odds = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(math.log(COPY_PRIOR / (1 - COPY_PRIOR))) + for_ + against))
+    return t.select("source", accuracy.alias("accuracy"), (1 / (1 + F.exp(-odds))).alias("copying"))
+
 
+def fuse(members: DataFrame) -> DataFrame:
+    """GROUP, fused (the bases of maximum posterior), fused_phred array<int>: the consensus of each group after copy detection.
 
-def _log_odds(p: float) -> float:
-    import math
+    members has GROUP, run_id, sequence, phred, map_quality. Positions where no member has a base are N with score 0; ties go to the
+    first of A, C, G, T."""
+    stack, share, most = _stack, COPY_SHARE, MAX_PHRED
+    profiles = durable(_profiles(members))
+    judged = profiles.select(*GROUP, F.explode("sources").alias("source")).join(source_statistics(profiles), "source")
+    known = judged.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("source", "accuracy", "copying"))).alias("judged"))
+    j = profiles.join(known, GROUP).select(*GROUP, "profiles", F.col("judged.accuracy").alias("accuracy"), F.col("judged.copying").alias("copying"))
 
-    return math.log(p / (1 - p))
+    def vote(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        for b in batches:
+            fused, scores = [], []
+            for profiles, accuracy, copying in zip(*(b.column(c).to_pylist() for c in ("profiles", "accuracy", "copying")), strict=True):
+                x, a, c = stack(profiles), np.asarray(accuracy), np.asarray(copying)
+                trust = np.log10(3 * a / (1 - a)) / np.log10(3 * 0.99 / 0.01)
+                follows = np.cumsum(x > 0, axis=0) > 1  # a value that an earlier source gave may be a copy
+                w = (x * trust[:, None, None] * np.where(follows, 1 - share * c[:, None, None], 1.0)).sum(axis=0)
+                best = w.argmax(axis=1)
+                top = w[np.arange(len(w)), best]
+                odds = np.maximum(1e-10, (10 ** ((w - top[:, None]) / 10)).sum(axis=1) - 1)
+                q = np.minimum(most, np.floor(-10 * np.log10(odds / (1 + odds)) + 0.5)).astype(int)
+                fused.append("".join("ACGT"[i] if t > 0 else "N" for i, t in zip(best, top, strict=True)))
+                scores.append(np.where(top > 0, q, 0).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("group_read_id"), b.column("fingerprint"), pa.array(fused, pa.string()), pa.array(scores, pa.list_(pa.int32()))], names=["group_read_id", "fingerprint", "fused", "fused_phred"])
 
-def fuse(members: DataFrame) -> DataFrame:
-    """GROUP, bases array<struct<pos, base, phred>>: the consensus of each group after copy detection, with posterior Phred scores."""
-    votes = durable(_votes(members))
-    acc, dep = source_statistics(_winner(votes, "weight"))
-    per = Window.partitionBy(*GROUP, "pos", "base")
-    v = votes.withColumn("lead", F.min("source").over(per)).join(acc, "source").join(dep, ["source", "lead"], "left")
-    trust = F.log10(3 * F.col("accuracy") / (1 - F.col("accuracy"))) / F.log10(F.lit(3 * 0.99 / 0.01))
-    v = v.select(*GROUP, "pos", "base", (F.col("weight") * trust * (1 - COPY_SHARE * F.coalesce("copying", F.lit(0.0)))).alias("w"))
-    per_base = v.groupBy(*GROUP, "pos", "base").agg(F.sum("w").alias("w"))
-    ten = lambda x: F.pow(F.lit(10.0), x / 10)
-    per_pos = per_base.groupBy(*GROUP, "pos").agg(
-        F.max(F.struct(F.round("w", 6).alias("w"), (-F.ascii("base")).alias("k"), F.col("base").alias("base"))).alias("best"), F.collect_list("w").alias("ws")
-    )
-    # four bases at most; those nobody saw have no evidence
-    rest = F.aggregate("ws", F.lit(0.0), lambda a, x: a + ten(x - F.col("best.w"))) - 1 + (4 - F.size("ws")) * ten(-F.col("best.w"))
-    share = F.greatest(F.lit(1e-10), rest)
-    phred = F.least(F.lit(MAX_PHRED), F.floor(F.log10(share / (1 + share)) * -10 + 0.5)).cast("int")
-    base = F.struct("pos", F.col("best.base").alias("base"), phred.alias("phred"))
-    return per_pos.groupBy(*GROUP).agg(F.array_sort(F.collect_list(base)).alias("bases"))
+    return j.mapInArrow(vote, "group_read_id bigint, fingerprint bigint, fused string, fused_phred array<int>")
 
 
 def best_representatives(reads: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per group: group_read_id, best_read_id, n_members, sequence, phred, map_quality (the fused record), agreement.
+    """One row per group: group_read_id, best_read_id, n_members, sequence, phred, map_quality (the fused record),
+    is_exact (the exact check decided), posterior_agrees (the member of maximum posterior is the same).
 
     The fused sequence and phred are the bases of maximum posterior (N, 0 where no member has a base), map_quality the members' highest.
     The best read is the member of maximum posterior: the evidence of its bases that agree with the fused record less that of those
@@ -122,47 +243,44 @@ def best_representatives(reads: DataFrame, hits: DataFrame, runs: DataFrame) ->
     map_quality is lowest, a missing sequence has more Ns than any. Reads that are delivered twice under one read_id count once (the
     one with the greatest sequence, then quality). Empty tables give an empty result; other columns are ignored.
     """
-    members = durable(duplicate_members(hits))
-    ids = members.select("read_id").distinct()
-    mine = reads.select("read_id", "run_id", "description", "sequence", "quality").join(ids, "read_id", "left_semi")
-    once = mine.groupBy("read_id").agg(F.max(F.struct("sequence", "quality", "run_id", "description")).alias("r"))
-    once = once.select("read_id", "r.run_id", "r.description", "r.sequence", "r.quality")
-    q = normalize_quality(once, runs, evidence=reads).select("read_id", "run_id", "sequence", "phred", "phred_total")
-    m = durable(members.join(q, "read_id"))
-    fused = fuse(m)
-    j = m.join(fused, GROUP, "left")
+    members = duplicate_members(hits)
+    mine = reads.select("read_id", "run_id", "description", "sequence", "quality").join(members, "read_id")
+    once = mine.groupBy("read_id", *GROUP, "n_members", "map_quality").agg(F.max(F.struct("sequence", "quality", "run_id", "description")).alias("r"))
+    once = once.select("read_id", *GROUP, "n_members", "map_quality", "r.run_id", "r.description", "r.sequence", "r.quality")
+    q = normalize_quality(once, runs, evidence=reads, keep=[*GROUP, "n_members", "map_quality"])
+    m = durable(q.select(*GROUP, "n_members", "read_id", "run_id", "sequence", F.col("phred").cast("array<tinyint>").alias("phred"), "phred_total", "map_quality"))
+    j = m.join(fuse(m), GROUP, "left")
     n_unknown = F.coalesce(F.length("sequence") - F.length(F.translate("sequence", "Nn", "")), F.lit(2**31 - 1))
-    byte = F.split(F.upper("sequence"), "")
-    score = F.coalesce("phred", F.array_repeat(F.lit(DEFAULT_PHRED), F.length("sequence")))
-    truth = F.map_from_entries(F.transform("bases", lambda b: F.struct(b["pos"], b["base"])))
+    bases = F.split(F.upper("sequence"), "")
+    score = F.coalesce(F.col("phred").cast("array<int>"), F.array_repeat(F.lit(DEFAULT_PHRED), F.length("sequence")))
     # the sign of each base by its agreement with the fused record, its weight by its quality
-    agree = F.aggregate(
-        F.transform(F.arrays_zip(byte.alias("b"), score.alias("q"), F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("sequence") - 1)).alias("i")), lambda x: F.when(F.try_element_at(truth, x["i"]) == x["b"], x["q"]).when(x["b"] == "N", F.lit(-6)).otherwise(-x["q"])),
-        F.lit(0),
-        lambda a, x: a + F.coalesce(x, F.lit(0)),
+    signed = F.transform(
+        F.arrays_zip(bases.alias("b"), score.alias("q"), F.split("fused", "").alias("t")),
+        lambda x: F.when(x["b"] == "N", F.lit(-6)).when(x["b"] == x["t"], x["q"]).otherwise(-x["q"]),
     )
+    agree = F.aggregate(signed, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     quality, mapq = F.coalesce("phred_total", F.lit(-1)), F.coalesce("map_quality", F.lit(-1))
     posterior = F.coalesce(agree, F.lit(-(2**30))) + F.coalesce("map_quality", F.lit(0))
-    j = j.select(*GROUP, "read_id", "bases", (-n_unknown).alias("known"), quality.alias("total"), mapq.alias("mq"), posterior.alias("posterior"), F.length("sequence").alias("len"))
+    j = j.select(*GROUP, "n_members", "read_id", "fused", "fused_phred", (-n_unknown).alias("known"), quality.alias("total"), mapq.alias("mq"), posterior.alias("posterior"))
     least = -F.col("read_id")
     got = j.groupBy(*GROUP).agg(
-        F.max_by("read_id", F.struct("posterior", least)).alias("likely"),
+        F.max("n_members").alias("n_members"),
+        F.max(F.struct("posterior", least.alias("k"))).alias("likely"),
         F.max(F.struct("known", "total", "mq", least.alias("k"))).alias("first"),
         F.max("known").alias("known"),
         F.max("total").alias("total"),
         F.max("mq").alias("mq"),
-        F.max("len").alias("len"),
-        F.max_by("bases", F.col("len")).alias("bases"),
+        F.first("fused").alias("fused"),
+        F.first("fused_phred").alias("fused_phred"),
     )
     exact = (F.col("first.known") == F.col("known")) & (F.col("first.total") == F.col("total")) & (F.col("first.mq") == F.col("mq"))
-    at = F.map_from_entries(F.transform("bases", lambda b: F.struct(b["pos"], b)))
-    places = F.when(F.col("len") > 0, F.sequence(F.lit(0), F.col("len") - 1)).otherwise(F.array().cast("array<int>"))
     return got.select(
         "group_read_id",
-        F.when(exact, -F.col("first.k")).otherwise(F.col("likely")).alias("best_read_id"),
+        F.when(exact, -F.col("first.k")).otherwise(-F.col("likely.k")).alias("best_read_id"),
         "n_members",
-        F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at(at, i)["base"], F.lit("N"))), "").alias("sequence"),
-        F.transform(places, lambda i: F.coalesce(F.try_element_at(at, i)["phred"], F.lit(0))).alias("phred"),
+        F.coalesce("fused", F.lit("")).alias("sequence"),
+        F.coalesce("fused_phred", F.array().cast("array<int>")).alias("phred"),
         F.when(F.col("mq") >= 0, F.col("mq")).alias("map_quality"),
         exact.alias("is_exact"),
+        (F.col("likely.k") == F.col("first.k")).alias("posterior_agrees"),
     )

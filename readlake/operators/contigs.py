@@ -40,8 +40,11 @@ def placed(df: DataFrame, genomes: tuple[str, ...] = (), key: str = "read_id") -
     quality, cigar."""
     h = hit_to(F.col("hit"), genomes)
     back = h["aln_length"] < 0
-    s = F.upper(effective_sequence(F.col("read")))
-    q = F.slice("read.quality", F.coalesce("read.trim_left", F.lit(0)) + 1, F.greatest(F.lit(0), F.length(s)))
+    # a cigar that fits the whole read is of the whole read, any other of the trimmed one
+    whole = cg.query_length(h["cigar"]) == F.length("read.sequence")
+    s = F.upper(F.when(whole, F.col("read.sequence")).otherwise(effective_sequence(F.col("read"))))
+    cut = F.slice("read.quality", F.coalesce("read.trim_left", F.lit(0)) + 1, F.greatest(F.lit(0), F.length(s)))
+    q = F.when(whole, F.col("read.quality")).otherwise(cut)
     d = df.select(
         F.col(key).alias("key"),
         h["genome_name"].alias("genome_name"),
@@ -91,6 +94,7 @@ def pileup(rows: DataFrame) -> DataFrame:
     """One row per read and column: contig keys, pos, ord, base (null: deleted), quality, error (Phred, the smaller of base and map quality),
     crossing (the read also covers pos + 1), index and length of the read."""
     d = rows.select("genome_name", "sequence", "contig_start", "map_quality", "bases", "quality", "end", F.explode(_spread(F.col("cigar"), F.col("start"))).alias("c"))
+    d = d.where(F.col("c.q").isNull() | (F.col("c.q") <= F.length("bases")))
     base = F.when(F.col("c.q").isNotNull(), F.substr("bases", F.col("c.q"), F.lit(1)))
     q = F.coalesce(F.try_element_at("quality", F.col("c.q")), F.lit(30))
     return d.select(

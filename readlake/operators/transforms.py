@@ -178,8 +178,8 @@ def add_alignments(df: DataFrame, chunks: DataFrame, key: str = "read_id", conte
 
 
 def upgrade_old(score: Column, cigar_bytes: Column) -> tuple[Column, Column]:
-    """Score and cigar of records of the first format: scores were natural logarithms, cigars bytes (below 128 matches, below 192 inserts less
+    """Score and cigar of records of the first format: scores were ten times natural logarithms, cigars bytes (below 128 matches, below 192 inserts less
     128, else deletions less 192)."""
-    new = F.floor(score * 10 / math.log(10) + 0.5).cast("int")
+    new = F.floor(score / math.log(10) + 0.5).cast("int")
     runs = F.transform(cigar_bytes, lambda b: F.when(b < 128, cg.run(F.lit("M"), b)).when(b < 192, cg.run(F.lit("I"), b - 128)).otherwise(cg.run(F.lit("D"), b - 192)))
     return new, F.aggregate(runs, F.array().cast(CIGAR), lambda acc, x: cg.push(acc, x["op"], x["len"]))

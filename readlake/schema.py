@@ -26,8 +26,8 @@ RESULT = (
     f"read {READ}, members array<{READ}>, nmembers int, hit array<{HIT}>, aln_stats array<{STATS}>,"
     f" diff_to_next_species int, diff_to_next_order int, num_reads int, seeds array<{SEEDS}>"
 )
-#: Outcomes of mapping. Fixed values.
-REASONS = ("aligned", "no_policy", "no_seeds", "too_many_seeds", "repeats_only", "bad_alignment")
+#: Outcomes of mapping by their stored number. Fixed values.
+REASONS = ("aligned", "no_seeds", "too_many_seeds", "bad_alignment", "no_policy", "repeats_only")
 
 
 

@@ -92,11 +92,12 @@ def trim(left: Sequence[str] = (), right: Sequence[str] = (), least: int = 4) ->
         l0 = F.coalesce(r["trim_left"], F.lit(0))
         r0 = F.coalesce(r["trim_right"], F.length(r["sequence"]))
         d = df.withColumn("t__", points(r["sequence"], l0, r0))
-        dl, dr = F.col("t__.l") - l0, r0 - F.col("t__.r")
+        d = d.withColumns({"dl__": F.col("t__.l") - l0, "dr__": r0 - F.col("t__.r")})
+        dl, dr = F.col("dl__"), F.col("dr__")
         hit = F.transform("hit", lambda h: h.withField("cigar", cg.trim_right(cg.trim_left(h["cigar"], dl), dr)))
         read = r.withField("trim_left", F.when(dl > 0, F.col("t__.l")).otherwise(r["trim_left"])).withField("trim_right", F.when(dr > 0, F.col("t__.r")).otherwise(r["trim_right"]))
         ok = r["sequence"].isNotNull()
-        return d.withColumns({"read": F.when(ok, read).otherwise(r), "hit": F.when(ok, hit).otherwise(F.col("hit"))}).drop("t__")
+        return d.withColumns({"read": F.when(ok, read).otherwise(r), "hit": F.when(ok, hit).otherwise(F.col("hit"))}).drop("t__", "dl__", "dr__")
 
     return op
 

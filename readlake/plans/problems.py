@@ -150,7 +150,7 @@ select file_id, field, 'added' as change from b where p0 is null union all selec
 union all select file_id, field, 'renamed' from b where p0 <> p1 union all select file_id, field, 'retyped' from b where k0 <> k1 and len(k0) > 0 and len(k1) > 0"""
     % " ".join(f"when '{x}' then '{f}'" for f, xs in drift.SPELLINGS.items() for x in xs),
     "p7_found": """
-with h as (select regexp_replace(lower(trim(genome_name)), '\\.dna$', '') as genome_name, trim(sequence, ' ' || chr(9)) as sequence, start_pos as s, start_pos + abs(aln_length) as e
+with h as (select distinct regexp_replace(lower(trim(genome_name)), '\\.dna$', '') as genome_name, trim(sequence, ' ' || chr(9)) as sequence, start_pos as s, start_pos + abs(aln_length) as e
   from aln_hit where start_pos is not null and aln_length is not null and aln_length <> 0 and genome_name is not null and sequence is not null),
 m as (select *, max(e) over (partition by genome_name, sequence order by s, e rows between unbounded preceding and 1 preceding) as reach from h),
 i as (select *, sum(case when s <= reach then 0 else 1 end) over (partition by genome_name, sequence order by s, e rows unbounded preceding) as k from m),

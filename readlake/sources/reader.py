@@ -98,11 +98,11 @@ def register(spark: SparkSession) -> None:
 
 
 def sniff(path: str) -> str:
-    """Kind of the first file that a path names: native, bam, sff, sam, fastq, parquet or unknown; through gzip and bzip2."""
-    found = files.listing(path)
+    """Kind of the first file, not empty, that a path names: native, bam, sff, sam, fastq, parquet or unknown; through gzip and bzip2."""
+    found = [p for p, size in files.listing(path) if size]
     if not found:
         return "unknown"
-    with files.open_plain(found[0][0]) as f:
+    with files.open_plain(found[0]) as f:
         head = f.read(1 << 12)
     if head[:4] in (b"ANFO", b"ANF1"):
         return "native"

@@ -10,7 +10,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from readlake.operators import stats as batch
 
-#: Operators that are row-local, so that a stream may pass through them.
+#: How long after its last arrival a read waits for further inputs.
+LINGER_MS = 3_600_000
 JOINED = "seqid string, inputs int, hits string"
 
 
@@ -47,7 +48,9 @@ def _joiner(inputs: int):
             state.remove()
             yield pd.DataFrame({"seqid": [key[0]], "inputs": [len(seen)], "hits": [json.dumps(sorted(hits))]})
             return
+        last = 0 if not state.exists else json.loads(state.get[0])["t"]
         for f in frames:
+            last = max(last, int(f["at"].max().timestamp() * 1000))
             for i, h in zip(f["input"], f["hits"], strict=True):
                 seen.add(int(i))
                 hits += json.loads(h)
@@ -56,8 +59,8 @@ def _joiner(inputs: int):
                 state.remove()
             yield pd.DataFrame({"seqid": [key[0]], "inputs": [len(seen)], "hits": [json.dumps(sorted(hits))]})
         else:
-            state.update((json.dumps({"i": sorted(seen), "h": hits}),))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
+            state.update((json.dumps({"i": sorted(seen), "h": hits, "t": last}),))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + LINGER_MS)
 
     return step
 

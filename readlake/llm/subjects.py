@@ -22,13 +22,13 @@ from readlake.llm.leakage import words
 from readlake.session import collect_bounded, durable
 
 #: Hash buckets of terms, and dimensions of the embedding.
-BUCKETS, DIMENSIONS = 1 << 18, 48
+BUCKETS, DIMENSIONS = 1 << 18, 64
 #: Rounds of weighting and decomposition, power iterations in each, refinements of the centroids.
 ROUNDS, POWER, REFINE = 2, 2, 2
 #: Texts that a term must occur in, least weight of an active term, and weight (squared, summed) that a sentence with a subject has.
 MIN_TEXTS, MIN_WEIGHT, MIN_MASS = 3, 0.05, 0.3
 #: Share of the text's own vector that helps to tell an ambiguous sentence, and sentences that make a further subject.
-CONTEXT, SENTENCES = 0.15, 2
+CONTEXT, SENTENCES = 0.3, 2
 MAX_SUBJECTS = 1000
 SHARD = 1024
 _CODE = re.compile(r"```.*?```|<pre>.*?</pre>|(?:^|\n)(?: {4}|\t)[^\n]*|https?://\S+", re.S)
@@ -119,6 +119,10 @@ class Model:
     def __init__(self, active: np.ndarray, weight: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None, subject: np.ndarray | None = None) -> None:
         self.active, self.weight, self.vectors, self.centroids, self.subject = active, weight, vectors, centroids, subject
 
+    def parts(self) -> tuple:
+        """Plain arrays, as broadcasts are pickled by reference."""
+        return self.active, self.weight, self.vectors, self.centroids, self.subject
+
     def lookup(self) -> np.ndarray:
         at = np.full(BUCKETS, -1, np.int64)
         at[self.active] = np.arange(len(self.active))
@@ -139,7 +143,8 @@ class Model:
         x = self.vectors[a] * self.weight[a, None]
         text = _row_sums(row, x, b.n)
         mass = _row_sums(sent, self.weight[a] ** 2, len(b.owner))
-        s = _row_sums(sent, x, len(b.owner)) + CONTEXT * text[b.owner]
+        # unit vectors, as terms that the decomposition holds less of are shorter, and a long text would drown its sentences
+        s = _unit(_row_sums(sent, x, len(b.owner))) + CONTEXT * _unit(text)[b.owner]
         best = self.subject[(_unit(s) @ self.centroids.T).argmax(axis=1)] if len(s) else np.zeros(0, np.int64)
         ok = mass > MIN_MASS
         n = int(self.subject.max()) + 1
@@ -240,10 +245,10 @@ def _decompose(tokens: DataFrame, active: np.ndarray, weight: np.ndarray, dims:
     dims = min(dims, len(active))
     q = np.linalg.qr(np.random.default_rng(7).normal(size=(len(active), dims)))[0].astype(np.float32)
     for _ in range(POWER + 1):
-        shared = tokens.sparkSession.sparkContext.broadcast(Model(active, weight, q))
+        shared = tokens.sparkSession.sparkContext.broadcast(Model(active, weight, q).parts())
 
         def partial(shared=shared):
-            m = shared.value
+            m = Model(*shared.value)
             at = m.lookup()
 
             def add(rb, total):
@@ -269,10 +274,10 @@ def _decompose(tokens: DataFrame, active: np.ndarray, weight: np.ndarray, dims:
 def _centroids(tokens: DataFrame, model: Model, langs: list[str], n: int, decide_by) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids per subject and language that has any, and their subjects."""
     where = {x: i for i, x in enumerate(langs)}
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    shared = tokens.sparkSession.sparkContext.broadcast(model.parts())
 
     def partial():
-        m = shared.value
+        m = Model(*shared.value)
         at = m.lookup()
         decide = decide_by()
 
@@ -297,7 +302,7 @@ def _by_label():
 
 def _by_model(shared) -> Callable:
     def make():
-        m = shared.value
+        m = Model(*shared.value)
         at = m.lookup()
         return lambda rb, b: _confident(m.assign(b, at)[0])
 
@@ -337,17 +342,17 @@ def treated_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFram
         if not len(model.subject):
             return empty
         for _ in range(REFINE):
-            shared = spark.sparkContext.broadcast(model)
+            shared = spark.sparkContext.broadcast(model.parts())
             c, s = _centroids(tokens, model, langs, n, _by_model(shared))
             if len(s):
                 model = Model(active, weight, model.vectors, c, s)
-        judge = _by_model(spark.sparkContext.broadcast(model))
-    final = spark.sparkContext.broadcast(model)
+        judge = _by_model(spark.sparkContext.broadcast(model.parts()))
+    final = spark.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        m = final.value
+        m = Model(*final.value)
         at = m.lookup()
         for rb in batches:
             counts, masses, _ = m.assign(Batch(rb), at)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from readlake.mapping.align import Aligner
-from readlake.sources import files
+from readlake.sources.files import listing
 from readlake.sources.reader import sniff
 
 
 def describe(spark: SparkSession, path: str) -> dict:
     """Kind, files and bytes of a path; columns and rows of stored tables."""
-    found = files.listing(path)
+    found = listing(path)
     out: dict = {"path": path, "kind": sniff(path), "files": len(found), "bytes": sum(n for _, n in found)}
     if out["kind"] == "parquet":
         d = spark.read.parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from readlake.schema import REASONS, RESULT, sanitize
-from readlake.sources import files
+from readlake.sources.files import listing, open_plain
 
 #: Fields of each message: number -> (name, kind); s signed (zigzag), u unsigned, i plain signed, f float, t text, b bytes, p packed, a nested
 #: message name in brackets. Fixed values.
@@ -207,7 +207,7 @@ def record(number: int, b: bytes) -> dict | None:
 
 def read_native(spark: SparkSession, path: str) -> DataFrame:
     """Records of older stores, in clean form."""
-    names = spark.createDataFrame([(p,) for p, _ in files.listing(path)], "path string")
+    names = spark.createDataFrame([(p,) for p, _ in listing(path)], "path string")
 
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
 
@@ -217,7 +217,7 @@ def read_native(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for p in b.column(0).to_pylist():
                 rows: list[dict] = []
-                with files.open_plain(p) as f:
+                with open_plain(p) as f:
                     for number, m in messages(f):
                         if r := record(number, m):
                             rows.append(r)
@@ -227,4 +227,4 @@ def read_native(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return sanitize(names.repartition(max(1, min(len(files.listing(path)), 1000)), F.col("path")).mapInArrow(run, RESULT))
+    return sanitize(names.repartition(max(1, min(len(listing(path)), 1000)), F.col("path")).mapInArrow(run, RESULT))

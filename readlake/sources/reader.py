@@ -10,7 +10,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from readlake.functions import cigar as cg
 from readlake.functions.seq import reverse_complement
 from readlake.schema import HIT, READ, complete, result, sanitize
-from readlake.sources import files, parsers
+from readlake.sources.files import compressed, listing, open_plain, open_raw
+from readlake.sources.parsers import bam, fastq_lines, fastq_range, genome_fasta, sff
 
 SCHEMA = (
     "seqid string, description string, sequence string, quality array<int>, trim_left int, trim_right int,"
@@ -33,8 +34,8 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         split = int(self.options.get("splitbytes", 64 << 20))
         out = []
-        for path, size in files.listing(self.options["path"]):
-            if self.kind != "fastq" or size <= split or files.compressed(path):
+        for path, size in listing(self.options["path"]):
+            if self.kind != "fastq" or size <= split or compressed(path):
                 out.append(Range(path, 0, -1))
             else:
                 out += [Range(path, i, min(size, i + split)) for i in range(0, size, split)]
@@ -46,20 +47,20 @@ class _Reader(DataSourceReader):
         o = self.options
         origin, solexa = int(o.get("origin", 33)), str(o.get("solexa", "false")).lower() == "true"
         if self.kind == "fastq" and p.end >= 0:
-            with files.open_raw(p.path) as f:
+            with open_raw(p.path) as f:
                 import io
 
-                yield from parsers.fastq_range(io.BufferedReader(f, 1 << 20), p.start, p.end, origin, solexa)
+                yield from fastq_range(io.BufferedReader(f, 1 << 20), p.start, p.end, origin, solexa)
             return
-        with files.open_plain(p.path) as f:
+        with open_plain(p.path) as f:
             if self.kind == "fastq":
-                yield from parsers.fastq_lines([x.rstrip(b"\r\n") for x in f], origin, solexa)
+                yield from fastq_lines([x.rstrip(b"\r\n") for x in f], origin, solexa)
             elif self.kind == "bam":
-                yield from parsers.bam(f)
+                yield from bam(f)
             elif self.kind == "sff":
-                yield from parsers.sff(f)
+                yield from sff(f)
             else:
-                yield from parsers.genome_fasta(f, o["genome"], int(o.get("maxn", 2)))
+                yield from genome_fasta(f, o["genome"], int(o.get("maxn", 2)))
 
     def read(self, partition: Range):
         import pyarrow as pa
@@ -99,10 +100,10 @@ def register(spark: SparkSession) -> None:
 
 def sniff(path: str) -> str:
     """Kind of the first file, not empty, that a path names: native, bam, sff, sam, fastq, parquet or unknown; through gzip and bzip2."""
-    found = [p for p, size in files.listing(path) if size]
+    found = [p for p, size in listing(path) if size]
     if not found:
         return "unknown"
-    with files.open_plain(found[0]) as f:
+    with open_plain(found[0]) as f:
         head = f.read(1 << 12)
     if head[:4] in (b"ANFO", b"ANF1"):
         return "native"

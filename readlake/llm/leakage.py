@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.session import spread
+
 #: Words of a seed; items that may share a seed and it still is rare.
 SEED_WORDS, RARE_ITEMS = 3, 3
 #: Share of an item's words that a passage spans at least, and share of the spanned words that are unchanged.
@@ -133,7 +135,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     together. Each row of documents gives its rows, repeated rows repeated ones; empty tables give an empty result; other columns are
     ignored; texts may be of any length.
     """
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"))
     out = None
     for block in _blocks(items):
         rows = docs.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(block)), "doc_id bigint, item_id bigint")

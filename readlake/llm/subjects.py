@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.leakage import words
-from readlake.session import collect_bounded, durable
+from readlake.session import collect_bounded, durable, spread
 
 #: Hash buckets of terms, and dimensions of the embedding.
 BUCKETS, DIMENSIONS = 1 << 18, 64
@@ -81,7 +81,7 @@ def _tokens(documents: DataFrame) -> DataFrame:
 
     lang = F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit(""))
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, lang string, terms array<int>, ends array<int>")
+    return spread(src).mapInArrow(run, "doc_id bigint, lang string, terms array<int>, ends array<int>")
 
 
 class Batch:

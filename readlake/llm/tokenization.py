@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.session import spread
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Largest vocabulary file that is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -81,7 +83,7 @@ def encode_texts(documents: DataFrame, path: str | None = None, text: str = "tex
                     out += [lists([[o[k] for o in e.offsets] for e in got]) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(out, names=[key, "ids", "starts", "ends"][: len(out)])
 
-    return documents.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(run, fields)
+    return spread(documents.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("text"))).mapInArrow(run, fields)
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.seq import check_repeat, expand_ambiguity, neighbours, reverse_complement
+from readlake.session import spread
 
 #: Positions of one piece while words are cut.
 PIECE = 1 << 14
@@ -27,7 +28,7 @@ class IndexSpec:
 def genome_words(contigs: DataFrame, spec: IndexSpec) -> DataFrame:
     """genome_name, pos (of the genome), word: the words of contigs (genome_name, offset, bases) at every stride-th position of the genome,
     ambiguity codes expanded, self-overlapping words dropped. Row-local: contigs are cut into overlapping pieces, pieces into words."""
-    c = contigs.where(F.length("bases") >= spec.k)
+    c = spread(contigs.select("genome_name", "offset", "bases").where(F.length("bases") >= spec.k))
     c = c.select("genome_name", "offset", "bases", F.explode(F.sequence(F.lit(0), F.length("bases") - spec.k, F.lit(PIECE))).alias("at"))
     c = c.select("genome_name", (F.col("offset") + F.col("at")).alias("start"), F.upper(F.substr("bases", F.col("at") + 1, F.lit(PIECE + spec.k - 1))).alias("piece"))
     first = F.pmod(-F.col("start"), F.lit(spec.stride)).cast("int")
@@ -65,9 +66,12 @@ def read_words(reads: DataFrame, k: int, mismatches: int = 0) -> DataFrame:
     end, counted from the read's start. mismatches adds the neighbours at so many substitutions."""
     s = F.upper("sequence")
     at = F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k)).otherwise(F.array().cast("array<int>"))
-    r = reads.select("read_id", s.alias("s"), F.explode(at).alias("i")).select("read_id", "i", F.substr("s", F.col("i") + 1, F.lit(k)).alias("w")).where(F.col("w").rlike("^[ACGT]*$"))
-    both = F.array(F.struct((F.col("i") + 1).alias("offset"), F.col("w").alias("word")), F.struct((-F.col("i") - k).alias("offset"), reverse_complement(F.col("w")).alias("word")))
-    r = r.select("read_id", F.explode(both).alias("x")).select("read_id", "x.offset", "x.word")
+    # the reverse complement is made once per read; its words are those of the forward strand from the end
+    r = spread(reads.select("read_id", "sequence")).select("read_id", s.alias("s"), reverse_complement(s).alias("t"), F.explode(at).alias("i"))
+    fwd = F.substr("s", F.col("i") + 1, F.lit(k))
+    rev = F.substr("t", F.length("t") - k - F.col("i") + 1, F.lit(k))
+    r = r.where(fwd.rlike("^[ACGT]*$")).select("read_id", F.explode(F.array(F.struct((F.col("i") + 1).alias("offset"), fwd.alias("word")), F.struct((-F.col("i") - k).alias("offset"), rev.alias("word")))).alias("x"))
+    r = r.select("read_id", "x.offset", "x.word")
     return r.select("read_id", "offset", F.explode(neighbours(F.col("word"), k, mismatches)).alias("word")) if mismatches else r
 
 

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.session import spread
+
 FIELDS = ("seqid", "description", "sequence", "quality", "trim_left", "trim_right")
 SCHEMA = (
     "raw_id bigint, file_name string, line_no bigint, seqid string, description string, sequence string, quality string,"
@@ -128,7 +130,7 @@ def load_lines(lines: DataFrame) -> DataFrame:
     src = lines.select(
         F.col("raw_id").cast("bigint").alias("raw_id"), F.col("file_name").cast("string").alias("file_name"), F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
-    return src.mapInArrow(_batches, SCHEMA)
+    return spread(src).mapInArrow(_batches, SCHEMA)
 
 
 def rejects(lines: DataFrame) -> DataFrame:

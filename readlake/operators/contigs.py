@@ -93,7 +93,8 @@ def _spread(cigar: Column, start: Column) -> Column:
 def pileup(rows: DataFrame) -> DataFrame:
     """One row per read and column: contig keys, pos, ord, base (null: deleted), quality, error (Phred, the smaller of base and map quality),
     crossing (the read also covers pos + 1), index and length of the read."""
-    d = rows.select("genome_name", "sequence", "contig_start", "map_quality", "bases", "quality", "end", F.explode(_spread(F.col("cigar"), F.col("start"))).alias("c"))
+    keep = rows.select("genome_name", "sequence", "contig_start", "map_quality", "bases", "quality", "start", "end", "cigar")
+    d = keep.select("genome_name", "sequence", "contig_start", "map_quality", "bases", "quality", "end", F.explode(_spread(F.col("cigar"), F.col("start"))).alias("c"))
     d = d.where(F.col("c.q").isNull() | (F.col("c.q") <= F.length("bases")))
     base = F.when(F.col("c.q").isNotNull(), F.substr("bases", F.col("c.q"), F.lit(1)))
     q = F.coalesce(F.try_element_at("quality", F.col("c.q")), F.lit(30))
@@ -131,8 +132,9 @@ def columns(pile: DataFrame, prior: float = 0.001, damage: Damage | None = None)
     A column is one aggregate over (contig, pos, ord), combined map-side. A base is called if more reads show one than a gap; inserts that
     at most half the reads crossing them carry are left out. With damage, reads are explained by deamination towards their ends."""
     key = ["genome_name", "sequence", "contig_start", "pos", "ord"]
-    p = _allele_likelihoods(damage)
     known = F.col("base").isin("A", "C", "G", "T")
+    pile = pile.withColumns({f"l_{b}": c for b, c in _allele_likelihoods(damage).items()})
+    p = {b: F.col(f"l_{b}") for b in "ACGT"}
     pair = lambda g: p[g[0]] if g[0] == g[1] else (p[g[0]] + p[g[1]]) / 2
     agg = pile.groupBy(*key).agg(
         F.count("base").alias("observed"),
@@ -149,13 +151,15 @@ def columns(pile: DataFrame, prior: float = 0.001, damage: Damage | None = None)
     gaps = F.when(F.col("ord") == 0, F.col("gaps")).otherwise(F.greatest(F.lit(0), F.coalesce("crossed", F.lit(0)) - F.col("observed")))
     a = a.withColumn("gapped", gaps).where("ord = 0 or observed > gapped")
     hom, het = -10 * math.log10(1 - prior), -10 * math.log10(prior) if prior > 0 else 1e9
-    post = {g: F.col(g) + (hom if g[0] == g[1] else het) for g in GENOTYPES}
-    best = F.least(*post.values())
-    letter = F.coalesce(*[F.when(c == best, F.lit(x)) for c, x in zip(post.values(), LETTERS, strict=True)])
-    total = sum((F.pow(F.lit(10.0), (best - c) / 10) for c in post.values()), F.lit(0.0))
-    rest = (total - 1) / total
+    # step by step, so that each value is computed once a column
+    a = a.withColumns({f"p_{g}": F.col(g) + (hom if g[0] == g[1] else het) for g in GENOTYPES})
+    post = [F.col(f"p_{g}") for g in GENOTYPES]
+    a = a.withColumns({"best": F.least(*post), "low": F.least(*[F.col(g) for g in GENOTYPES])})
+    best, low = F.col("best"), F.col("low")
+    a = a.withColumn("total", sum((F.pow(F.lit(10.0), (best - c) / 10) for c in post), F.lit(0.0)))
+    letter = F.coalesce(*[F.when(c == best, F.lit(x)) for c, x in zip(post, LETTERS, strict=True)])
+    rest = (F.col("total") - 1) / F.col("total")
     quality = F.when(rest > 0, F.least(F.lit(255), F.floor(F.log10(rest) * -10 + 0.5))).otherwise(255).cast("int")
-    low = F.least(*[F.col(g) for g in GENOTYPES])
     lk = F.array(*[F.least(F.lit(255), F.floor(F.col(g) - low + 0.5)).cast("int") for g in GENOTYPES])
     called = F.col("observed") > F.col("gapped")
     return a.select(
@@ -190,7 +194,10 @@ def assemble(cols: DataFrame, label: str = "contig", longest: int = RECORD) -> D
     )
     bases = F.filter("cs", lambda x: x["call"] != "-")
     g = g.withColumn("bs", bases)
-    cigar = F.aggregate("cs", cg.empty(), lambda acc, x: cg.push(acc, x["op"], F.lit(1)))
+    # runs of equal operations, by where they begin
+    n = F.size("cs")
+    g = g.withColumn("runs", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.col("cs")[i]["op"] != F.col("cs")[F.greatest(F.lit(0), i - 1)]["op"])))
+    cigar = F.transform("runs", lambda i, k: cg.run(F.col("cs")[i]["op"], F.coalesce(F.try_element_at("runs", k + 2), n) - i))
     read = complete(
         READ,
         {

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readlake.functions.units import ERROR, ODDS, parse_unit
+from readlake.session import spread
 
 UNIT = T.StructType(
     [
@@ -86,7 +87,7 @@ def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | N
     notes = runs.groupBy("run_id").agg(F.max("run_note").alias("note")).select(F.col("run_id").alias("r_id"), unit_of("note").alias("r_unit"))
 
     def own_unit(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        r = rows.select(*keep, "read_id", "run_id", "sequence", "quality", unit_of("description").alias("d_unit")).join(notes, F.col("run_id") == F.col("r_id"), "left")
+        r = spread(rows.select(*keep, "read_id", "run_id", "sequence", "quality", "description")).select(*keep, "read_id", "run_id", "sequence", "quality", unit_of("description").alias("d_unit")).join(notes, F.col("run_id") == F.col("r_id"), "left")
         # a null struct comes back as a struct of nulls
         own = F.when(F.col("d_unit.dim").isNotNull(), F.col("d_unit")).when(F.col("r_unit.dim").isNotNull(), F.col("r_unit"))
         return r.select(*keep, "read_id", "run_id", "sequence", "quality", own.alias("unit"))

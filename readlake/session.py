@@ -19,6 +19,7 @@ def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "100k")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -44,6 +45,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a core below which a table that is about to be expanded is spread first.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table (by the planner's estimate, less than SPREAD_BYTES a core) dealt out over all cores, as it may be a single file; a larger one
+    comes in many splits and stays as it is. For work that is heavy for each row, before rows multiply."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def collect_bounded(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table that is small by definition; an error rather than a full driver where it is not."""
     rows = df.limit(most + 1).collect()

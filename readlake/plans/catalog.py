@@ -5,6 +5,7 @@ Reads take their quality as characters of origin 33 where it has the length of t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,15 @@ from readlake.functions import cigar as cg
 from readlake.functions import phred as ph
 from readlake.functions import seq as sq
 from readlake.functions.hits import best_hit, hit_to
+from readlake.mapping import mapper, simulate
 from readlake.mapping.index import IndexSpec, build_index, combine_seeds, genome_words, lookup, word_histogram
-from readlake.operators import chains, combine, contigs, divergence, filters, intervals, rmdup, sorting, stats, transforms
+from readlake.operators import chains, combine, contigs, divergence, filters, intervals, rmdup, sorting, stats, transforms, variants
 from readlake.plans.problems import table
 from readlake.schema import records, sanitize_reads
-from readlake.session import clean_genome, clean_sequence
+from readlake.session import checkpoint_dir, clean_genome, clean_sequence, durable
 from readlake.sinks import text as sinks
+from readlake.sources import register
+from readlake.streaming.records import through, write_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -579,3 +583,75 @@ def fastq_lines(s, d):
 @query()
 def record_text(s, d):
     return sinks.text_lines(recs(s, d))
+
+
+# --- trimming, chains, sites, mapping, streams, files -------------------------------------------------------------------------------------------
+
+
+@query()
+def trim_reads(s, d):
+    """Trim points after cutting trailing Ns and an adapter."""
+    t = transforms.trim(right=["GATCGGAAGAGC"])(recs(s, d))
+    return t.select("read_id", "read.trim_left", "read.trim_right", F.size("hit").alias("n_hits"))
+
+
+@query(f"with {_CONTIGS} select cc.o as block_id, cc.a % 2 = 0 as invertible from cc where g = 'vor4'")
+def invertible_chains(s, d):
+    """Blocks that map contigs onto a shifted copy; the inverse knows those that start at even positions."""
+    c = _contigs(s, d).where("genome_name = 'vor4'")
+    f = c.select(F.col("offset").alias("block_id"), F.col("sequence").alias("t_chrom"), F.col("range_start").alias("t_start"), F.col("range_end").alias("t_end"), F.col("sequence").alias("q_chrom"), (F.col("range_start") + 7).alias("q_start"), (F.col("range_end") + 7).alias("q_end"), F.lit("+").alias("strand"))
+    i = f.where("t_start % 2 = 0").select("block_id", F.col("q_chrom").alias("t_chrom"), F.col("q_start").alias("t_start"), F.col("q_end").alias("t_end"), F.col("t_chrom").alias("q_chrom"), F.col("t_start").alias("q_start"), F.col("t_end").alias("q_end"), "strand")
+    return chains.invertible(f, i)
+
+
+@query(
+    f"""{BASE}{_COLUMNS}, kk as (select * from y where (ord = 0 or observed > greatest(0, crossed - observed)) and g = 'vor4'),
+st as (select distinct s, p as pos from h where g = 'vor4' and s is not null and p is not null)
+select st.s as chrom, st.pos, count(*) filter (kk.pos = st.pos and kk.ord = 0 and observed > gaps)::int as n_bases,
+ coalesce(bool_or(kk.ord > 0 or (kk.ord = 0 and observed <= gaps)), false) as gap_near from st left join kk on kk.s = st.s and kk.pos between st.pos - 5 and st.pos + 5 group by 1, 2"""
+)
+def observed_sites(s, d):
+    """Start of each hit as a site: bases seen there and whether a gap is near."""
+    rows = contigs.assign_contigs(contigs.placed(recs(s, d))).where("genome_name = 'vor4'")
+    ends = rows.select("sequence", "contig_start", "contig_end").distinct()
+    cols = contigs.columns(contigs.pileup(rows)).join(ends, ["sequence", "contig_start"])
+    h = hits(s, d).where("genome_name = 'vor4' and sequence is not null and start_pos is not null").select(F.col("sequence").alias("chrom"), F.col("start_pos").alias("pos")).distinct()
+    sites = h.select(F.struct("chrom", "pos").alias("site_id"), "chrom", "pos", F.lit("+").alias("strand"), F.lit(None).cast("bigint").alias("end"))
+    o = variants.observe_sites(sites, cols)
+    # inserts after the site's base are no base of the site itself
+    return o.select("chrom", "pos", F.least(F.lit(1), F.length("bases")).alias("n_bases"), "gap_near")
+
+
+@query()
+def map_simulated_reads(s, d):
+    """Reads of a random genome mapped back: by reason, and how many lie at their origin."""
+    g = durable(simulate.random_genome(s, "sim", 200_000))
+    r = durable(simulate.sample_reads(g, 200_000, n=3000, gaps=0.002))
+    spec = IndexSpec(12, 4, cutoff=200)
+    m = mapper.map_reads(r.select("read_id", "sequence", "quality"), g, durable(build_index(g, spec)), spec).join(r.select("read_id", "start", "strand"), "read_id")
+    right = (F.abs(F.col("start_pos") - F.col("start")) <= 3) & ((F.col("aln_length") < 0) == (F.col("strand") == "-"))
+    return m.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(right, 1)).alias("at_origin"))
+
+
+@query(f"{BASE} select read_id, sequence from r where length(sequence) >= 60 and list_sum(q) >= len(q) * 25 and len(q) > 0")
+def stream_filters(s, d):
+    """Reads from a stream through row-local filters into a store, exactly once, then read back."""
+    src = table(s, d, "seq_read")
+    out = f"{checkpoint_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    st = s.readStream.schema(src.schema).parquet(f"{d}/seq_rea[d].parquet")  # a pattern, as a stream takes no single file
+    q = F.transform(F.split("quality", ""), lambda c: F.ascii(c) - 33)
+    st = sanitize_reads(st.select("read_id", "seqid", "description", "sequence", F.when(F.length("quality") == F.length("sequence"), q).alias("quality"), "trim_left", "trim_right"))
+    rec = st.select(F.struct("sequence", "quality").alias("read"), "read_id")
+    ops = [filters.filter_quality(25), lambda x: x.where(F.length("read.sequence") >= 60)]
+    write_stream(through(rec, *ops).select("read_id", "read.sequence"), out + "/data", out + "/checkpoint")
+    return s.read.parquet(out + "/data")
+
+
+@query(f"{BASE} select seqid, sequence, list_sum(q)::bigint as quality from r where q is not null and seqid is not null and len(q) > 0")
+def fastq_round_trip(s, d):
+    """All reads with quality written as FastQ and read back by the data source in byte ranges."""
+    out = f"{checkpoint_dir(s).rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    sinks.write_lines(sinks.fastq_lines(recs(s, d)), out)
+    register(s)
+    r = s.read.format("readlake-fastq").options(path=out, splitBytes=str(1 << 20)).load()
+    return r.select("seqid", "sequence", F.aggregate("quality", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("quality"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -37,10 +38,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return there
 
 
+_written: list = []
+
+
+def remove_written() -> None:
+    """Deletes the tables that durable wrote; results that read them must have been taken. Runs when the driver ends, as far as it still can."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            return
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, several readers share one computation, and the loss
     of an executor loses nothing."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/readlake-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written)
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -13,9 +13,16 @@ OPS = "MIDNSHP=X"
 COMPLEMENT = str.maketrans("ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn")
 
 
-def _scores(lines: list[bytes], origin: int, solexa: bool) -> list[int]:
-    text = b" ".join(lines)
-    raw = [int(x) for x in text.split()] if NUMBERS.match(text) and (b" " in text.strip() or b"-" in text) else [b - origin for b in b"".join(x.strip() for x in lines)]
+def _numeric(lines: list[bytes]) -> bool:
+    """Whether quality lines hold numbers apart by blanks; digits without a blank are characters."""
+    return all(NUMBERS.match(x) for x in lines) and any(b" " in x.strip() for x in lines)
+
+
+def _scores(lines: list[bytes], n: int, origin: int, solexa: bool) -> list[int]:
+    """Scores of n bases from the lines of a quality."""
+    chars = b"".join(x.strip() for x in lines)
+    alone = n == 1 != len(chars) and bool(NUMBERS.match(chars))
+    raw = [int(x) for x in b" ".join(lines).split()] if alone or _numeric(lines) else [b - origin for b in chars]
     return [math.floor(10 * math.log10(1 + 10 ** (q / 10)) + 0.5) for q in raw] if solexa else raw
 
 
@@ -37,10 +44,10 @@ def _record(lines: list[bytes], at: int, origin: int, solexa: bool) -> tuple[dic
     if i < len(lines) and lines[i][:1] == b"+":
         i += 1
         q: list[bytes] = []
-        while i < len(lines) and (not q or (len(b"".join(q).split()) if NUMBERS.match(b" ".join(q)) and b" " in b" ".join(q) else sum(map(len, q))) < len(sequence)):
+        while i < len(lines) and (not q or (len(b" ".join(q).split()) if _numeric(q) else sum(map(len, q))) < len(sequence)):
             q.append(lines[i].strip(b"\r\n"))
             i += 1
-        out["quality"] = _scores(q, origin, solexa) if q else []
+        out["quality"] = _scores(q, len(sequence), origin, solexa) if q else []
     elif fastq and not sequence:
         return None, at + 1
     return out, i
@@ -58,48 +65,62 @@ def fastq_lines(lines: list[bytes], origin: int = 33, solexa: bool = False) -> I
             i += 1
 
 
-def _starts(lines: list[bytes], i: int) -> bool:
-    """Whether a record starts at line i: a header whose qualities, if any, are as long as its sequence and are followed by a header."""
-    if lines[i][:1] == b">":
-        return True
-    if lines[i][:1] != b"@":
+def _starts(lines: list[bytes], i: int, mark: bytes) -> bool:
+    """Whether a record starts at line i for certain. In FastA (mark >) that is any header; in FastQ (mark @), where qualities may begin with either
+    mark, a header whose qualities are as long as its sequence and are followed by a header or the end."""
+    if lines[i][:1] != mark:
         return False
+    if mark == b">":
+        return True
     r, j = _record(lines, i, 33, False)
     return r is not None and r["quality"] is not None and len(r["quality"]) == len(r["sequence"]) > 0 and (j >= len(lines) or lines[j][:1] in (b"@", b">") or not lines[j])
 
 
 def fastq_range(f: BinaryIO, start: int, end: int, origin: int, solexa: bool) -> Iterator[dict]:
-    """Records that start within [start, end) of an uncompressed file; the last may run past end."""
-    f.seek(start)
-    lines, offsets = [], []
+    """Records of one byte range of an uncompressed file: from the first certain start at or after start to the first at or after end. Ranges that
+    meet agree on that start, so each record comes once."""
+    f.seek(0)
+    mark = b"@" if f.read(1) == b"@" else b">"
     at = start
-    if start:
+    if start:  # a line that starts exactly at start is whole
         f.seek(start - 1)
-        at = start - 1 + len(f.readline())  # a line that starts exactly at start is whole
-    stopped = False
-    while not stopped:
-        line = f.readline()
-        if not line:
-            break
-        lines.append(line.rstrip(b"\r\n"))
-        offsets.append(at)
-        at += len(line)
-        # past the end: until the header that follows the last own record is certain
-        if at > end and lines[-1][:1] in (b"@", b">") and offsets[-1] >= end and len(lines) > 1:
-            ahead = [f.readline().rstrip(b"\r\n") for _ in range(8)]
-            probe = [lines[-1], *ahead]
-            if _starts(probe, 0):
-                break
-            lines += ahead
-            for x in ahead:
-                offsets.append(at)
-                at += len(x) + 1
+        at = start - 1 + len(f.readline())
+    else:
+        f.seek(0)
+    lines: list[bytes] = []
+    offsets: list[int] = []
+
+    def more(n: int) -> bool:
+        nonlocal at
+        for _ in range(n):
+            x = f.readline()
+            if not x:
+                return False
+            lines.append(x.rstrip(b"\r\n"))
+            offsets.append(at)
+            at += len(x)
+        return True
+
+    checked, open_ = 0, True
+    while open_:
+        open_ = more(64)
+        ahead = 64
+        while checked < len(lines):
+            if offsets[checked] >= end and lines[checked][:1] == mark:
+                # look as far ahead as a certain answer may take
+                while open_ and not _starts(lines[: checked + ahead], checked, mark) and ahead < 1 << 14:
+                    open_ = more(ahead)
+                    ahead *= 2
+                if _starts(lines[: checked + ahead], checked, mark):
+                    open_ = False
+                    break
+            checked += 1
     i = 0
     if start:
-        while i < len(lines) and not _starts(lines, i):
+        while i < len(lines) and not _starts(lines, i, mark):
             i += 1
     while i < len(lines):
-        if offsets[i] >= end:
+        if offsets[i] >= end and _starts(lines, i, mark):
             return
         if lines[i][:1] in (b"@", b">"):
             r, i = _record(lines, i, origin, solexa)

@@ -251,3 +251,21 @@ def test_pipeline(spark, tmp_path, written):
 
 def test_best_hit_of_empty(spark, written):
     assert written.where(best_hit(F.col("hit")).isNull()).count() == 2
+
+
+def test_ranges_against_whole_files():
+    """Wrapped records whose qualities begin with header marks or are digits only: any byte ranges give the records of the file."""
+    import io
+    import random
+
+    rng = random.Random(1)
+    wrap = lambda x: "\n".join(x[k : k + 50] for k in range(0, len(x), 50))
+    for _ in range(60):
+        b = ""
+        for i in range(rng.randint(1, 60)):
+            n = rng.randint(1, 130)
+            kind = rng.choice(["@>+;ABC!5", "5-", "56", "@5"])
+            b += f"@r{i} d\n{wrap(''.join(rng.choice('ACGTN') for _ in range(n)))}\n+\n{wrap(''.join(rng.choice(kind) for _ in range(n)))}\n"
+        data, step = b.encode(), rng.randint(5, 400)
+        got = [r for a in range(0, len(data), step) for r in parsers.fastq_range(io.BytesIO(data), a, min(len(data), a + step), 33, False)]
+        assert got == list(parsers.fastq_lines(data.split(b"\n")[:-1]))

@@ -147,15 +147,32 @@ def chunks(f: BinaryIO) -> Iterator[bytes]:
         yield (lambda: b, lambda: unpack_lz(b, size), lambda: zlib.decompress(b), lambda: bz2.decompress(b))[kind]()
 
 
+def layout(head: bytes) -> str | None:
+    """How a store is laid out, told by what follows its four letters: 'plain' if that is a header message (number 1) and then a record or footer (2, 3 or 4),
+    'chunks' if it is the sizes of a chunk of known compression; None for anything else."""
+    if len(head) < 12 or not head[:4].isalnum() or not head[:4].isupper():
+        return None
+    size, packed = struct.unpack_from("<II", head, 4)
+    if packed >> 28 <= 3 and 0 < size < 1 << 28 and 0 < packed & 0xFFFFFFF <= 2 * size + 1024:
+        return "chunks"
+    if head[4] == 10:
+        try:
+            n, i = varint(head, 5)
+        except IndexError:
+            return None
+        if head[i + n] in (18, 26, 34) if i + n < len(head) else len(head) >= 4096:
+            return "plain"
+    return None
+
+
 def messages(f: BinaryIO) -> Iterator[tuple[int, bytes]]:
-    """(number, message) of a store of either format."""
-    magic = f.read(4)
-    if magic == b"ANF1":
-        parts: Iterator[bytes] = chunks(f)
-    elif magic == b"ANFO":
-        parts = iter([f.read()])
-    else:
+    """(number, message) of a store of either layout."""
+    head = f.read(4096)
+    kind = layout(head)
+    if kind is None:
         raise ValueError("no store of records")
+    f.seek(4)
+    parts: Iterator[bytes] = chunks(f) if kind == "chunks" else iter([f.read()])
     for b in parts:
         i = 0
         while i < len(b):

@@ -11,6 +11,7 @@ from readlake.functions import cigar as cg
 from readlake.functions.seq import reverse_complement
 from readlake.schema import HIT, READ, complete, result, sanitize
 from readlake.sources.files import compressed, listing, open_plain, open_raw
+from readlake.sources.native import layout, read_native
 from readlake.sources.parsers import bam, fastq_lines, fastq_range, genome_fasta, sff
 
 SCHEMA = (
@@ -105,8 +106,6 @@ def sniff(path: str) -> str:
         return "unknown"
     with open_plain(found[0]) as f:
         head = f.read(1 << 12)
-    if head[:4] in (b"ANFO", b"ANF1"):
-        return "native"
     if head[:4] == b"BAM\1":
         return "bam"
     if head[:4] == b".sff":
@@ -120,7 +119,7 @@ def sniff(path: str) -> str:
         return "fastq"
     if line.count(b"\t") >= 10:
         return "sam"
-    return "unknown"
+    return "native" if layout(head) else "unknown"
 
 
 def as_records(flat: DataFrame, genome: str | None = None) -> DataFrame:
@@ -165,8 +164,6 @@ def read(spark: SparkSession, path: str, genome: str | None = None, solexa: bool
         register(spark)
         return as_records(spark.read.format(f"readlake-{kind}").options(path=path, solexa=str(solexa), origin=str(origin)).load(), genome)
     if kind == "native":
-        from readlake.sources.native import read_native
-
         return read_native(spark, path)
     raise ValueError(f"{path}: unknown kind of file")
 

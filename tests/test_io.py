@@ -137,11 +137,11 @@ def test_native(spark, tmp_path):
     new = _field(4, _field(1, read) + _field(3, hit) + _field(9, 2) + _field(4, _field(15, b"g") + _field(1, 3)))
     old_hit = _field(2, b"c") + _field(3, 7) + _field(4, zig(4)) + _field(5, zig(23)) + _field(7, bytes([3, 129, 193])) + _field(8, b"K")
     old = _field(2, _field(1, b"old") + _field(2, b"ACGT") + _field(6, old_hit) + _field(7, zig(5)))
-    head, foot = _field(1, b""), _field(3, _field(1, 0))
-    (tmp_path / "plain").write_bytes(b"ANFO" + head + new + old + foot)
+    head, foot = _field(1, _field(1, b"version")), _field(3, _field(1, 0))
+    (tmp_path / "plain").write_bytes(b"OLD0" + head + new + old + foot)
     pack = lambda kind, b, f: struct.pack("<II", len(b), kind << 28 | len(f(b))) + f(b)
     lz = lambda b: bytes([len(b[:20]) - 1]) + b[:20] + b"".join(bytes([len(b[i : i + 20]) - 1]) + b[i : i + 20] for i in range(20, len(b), 20))
-    (tmp_path / "chunks").write_bytes(b"ANF1" + pack(0, head, lambda b: b) + pack(2, new, zlib.compress) + pack(3, old, bz2.compress) + pack(1, new, lz) + pack(0, foot, lambda b: b) + b"\0" * 8)
+    (tmp_path / "chunks").write_bytes(b"OLD1" + pack(0, head, lambda b: b) + pack(2, new, zlib.compress) + pack(3, old, bz2.compress) + pack(1, new, lz) + pack(0, foot, lambda b: b) + b"\0" * 8)
     assert reader.sniff(str(tmp_path / "chunks")) == "native"
     assert reader.read(spark, str(tmp_path / "chunks")).count() == 3
     got = rows(reader.read(spark, str(tmp_path / "plain")))
@@ -150,6 +150,7 @@ def test_native(spark, tmp_path):
     assert (x.hit[0].genome_name, x.hit[0].aln_length, x.hit[0].score, x.hit[0].map_quality, [tuple(c) for c in x.hit[0].cigar]) == ("g", -4, 12, 33, [("M", 4)])
     y = got["old"].hit[0]
     assert (y.genome_name, y.score, y.map_quality, [tuple(c) for c in y.cigar]) == ("k", 10, 5, [("M", 3), ("I", 1), ("D", 1)])
+    assert native.layout(b"ABCD\nmore text, which is no store") is None and native.layout(b"short") is None
     # a match that repeats what it writes: 'ab' then six more from two back
     assert native.unpack_lz(bytes([1]) + b"ab" + bytes([4 << 5, 1]), 8) == b"abababab"
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from readlake.llm import chunking, leakage, subjects, survivor, tokenization
+from readlake.plans.problems import UNITS_SQL
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,5 +55,13 @@ p(g, n, hi, a, b) as (
     else coalesce(list_max(list_filter(es, lambda x: x > b and x <= b - 50000 + 5000000)), b - 50000 + 5000000) end
   from p join w on p.g = w.g and p.n = w.n where b < hi)
 select g as genome_name, n as name, a as piece_start, b as piece_end from p""",
+    "p6_found": UNITS_SQL
+    + f""", m as (select {_CLEAN.format('genome_name')} as g, trim(sequence, ' ' || chr(9)) as s, start_pos as p, aln_length as l, read_id, max(map_quality) as mq from aln_hit
+ where genome_name is not null and sequence is not null and start_pos is not null and aln_length is not null and read_id is not null group by 1, 2, 3, 4, 5),
+z as (select g, s, p, l, list_sort(list(read_id)) as ids from m group by 1, 2, 3, 4 having count(*) > 1),
+e as (select z.ids, m.read_id, max(m.mq) as mq from z join m on m.g = z.g and m.s = z.s and m.p = z.p and m.l = z.l group by 1, 2),
+w as (select ids, e.read_id, row_number() over (partition by ids order by length(r.sequence) - length(translate(r.sequence, 'Nn', '')), coalesce(list_sum(phred.p), -1) desc, coalesce(mq, -1) desc, e.read_id) as k
+ from e join seq_read r on r.read_id = e.read_id join phred on phred.read_id = e.read_id)
+select ids[1] as group_read_id, read_id as best_read_id from w where k = 1""",
     "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

@@ -271,7 +271,7 @@ def mask_quality(s, d):
     return transforms.mask_quality(25)(recs(s, d)).select("read_id", "read.sequence")
 
 
-@query(f"{BASE} select read_id, tl as trim_left, tr as trim_right, q is not null as has_quality, description, n as effective_length from rr")
+@query(f"{BASE} select read_id, tl as trim_left, tr as trim_right, q is not null as has_quality, description, n::int as effective_length from rr")
 def sanitized_reads(s, d):
     r = recs(s, d)
     return r.select("read_id", "read.trim_left", "read.trim_right", F.col("read.quality").isNotNull().alias("has_quality"), "read.description", sq.effective_length(F.col("read")).alias("effective_length"))
@@ -412,7 +412,7 @@ m as (select *, max(e) over (partition by g, s order by p, e, read_id rows betwe
 i as (select *, sum(case when p <= reach then 0 else 1 end) over (partition by g, s order by p, e, read_id rows unbounded preceding) as k from m)"""
 
 
-@query(f"{BASE}{_PLACED} select g as genome_name, s as sequence, min(p) as contig_start, max(e) as contig_end, count(*) as n_reads from i group by g, s, k")
+@query(f"{BASE}{_PLACED} select g as genome_name, s as sequence, min(p) as contig_start, max(e)::bigint as contig_end, count(*) as n_reads from i group by g, s, k")
 def contig_islands(s, d):
     c = contigs.assign_contigs(contigs.placed(recs(s, d)))
     return c.groupBy("genome_name", "sequence", "contig_start", "contig_end").agg(F.count(F.lit(1)).alias("n_reads"))
@@ -452,7 +452,7 @@ def duct_tape_ancient(s, d):
     return c.select("read.seqid", F.length("read.sequence").alias("length"), F.crc32("read.sequence").alias("checksum"))
 
 
-@query(f"{BASE}{_COLUMNS} select g as genome_name, s as sequence, pos, observed::int as depth from y where ord = 0")
+@query(f"{BASE}{_COLUMNS} select g as genome_name, s as sequence, pos::bigint as pos, observed::int as depth from y where ord = 0")
 def coverage(s, d):
     c = contigs.columns(contigs.pileup(contigs.assign_contigs(contigs.placed(recs(s, d)))))
     return contigs.coverage(c).select("genome_name", "sequence", "pos", "depth")
@@ -537,7 +537,7 @@ q2 as (select read_id, i, substr(x, (i + 1)::int, 16) as f from q1), q3 as (sele
 m as (select distinct q3.read_id, ix.pos, q3.offs, ix.pos - q3.offs as diag from q3 join ix on ix.word = q3.word)"""
 
 
-@query(_LOOKUP + ' select read_id, pos, offs as "offset", diag from m')
+@query(_LOOKUP + ' select read_id, pos, offs::int as "offset", diag from m')
 def word_lookup(s, d):
     spec = IndexSpec(16, 4, cutoff=50)
     return lookup(table(s, d, "seq_read").select("read_id", "sequence"), build_index(_as_contigs(s, d), spec), spec).select("read_id", "pos", "offset", "diag")

@@ -81,7 +81,7 @@ def _unit_sql(c: str) -> str:
     )
 
 
-_UNITS = f"""
+UNITS_SQL = f"""
 with q as (
   select r.read_id, r.run_id, r.sequence, r.quality, coalesce({_unit_sql('r.description')}, {_unit_sql('n.run_note')}) as u
   from seq_read r left join seq_run n on r.run_id = n.run_id),
@@ -104,8 +104,8 @@ phred as (
   from vals)
 """
 SQL = {
-    "p1_found": _UNITS + "select read_id, list_sum(p)::bigint as phred_total from phred where u <> 'level33' and list_sum(p) is not null",
-    "p1_units": _UNITS
+    "p1_found": UNITS_SQL + "select read_id, list_sum(p)::bigint as phred_total from phred where u <> 'level33' and list_sum(p) is not null",
+    "p1_units": UNITS_SQL
     + """select case when u in ('odds64', 'oddsn') then 'odds' when u in ('level33', 'level64', 'leveln', 'log') then 'level' else 'error' end as dim,
   (case u when 'log' then -10 when 'accuracy' then -0.01 when 'permille' then 0.001 else 1 end)::double as scale,
   (case when u = 'level33' then 33 when u in ('level64', 'odds64') then 64 else 0 end)::int as origin,

@@ -109,15 +109,34 @@ def combine_seeds(matches: DataFrame, k: int, least: int) -> DataFrame:
     return out.select("read_id", "genome_name", (-F.col("x.d") - F.col("x.o")).alias("ref_pos"), (-F.col("x.o")).cast("int").alias("query_pos"), "x.size")
 
 
-def seed_reads(reads: DataFrame, index: DataFrame, spec: IndexSpec, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(seeds, statistics): seeds of the reads, and per read and genome num_raw_seeds, num_clumps and the reason too_many_seeds for reads with
-    repeat_threshold or more seeds, which then have none."""
-    raw = lookup(reads, index, spec, mismatches)
-    seeds = combine_seeds(raw, spec.k, least)
+def word_counts(words: DataFrame) -> DataFrame:
+    """genome_name, word, places: at how many places each word lies."""
+    return words.groupBy("genome_name", "word").agg(F.count(F.lit(1)).alias("places"))
+
+
+def seed_reads(
+    reads: DataFrame, index: DataFrame, spec: IndexSpec, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None, counts: DataFrame | None = None, genomes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(seeds, statistics): seeds of the reads, and for every read and genome num_raw_seeds, num_useless, num_clumps and a reason: too_many_seeds for reads
+    with repeat_threshold or more seeds, which then have none; without seeds, repeats_only if words lay at cutoff or more places, else no_seeds.
+
+    num_raw_seeds counts all places of the read's words, num_useless those of words at cutoff or more places. counts (word_counts) are the places before any
+    cutoff; without them the index is counted, which then has to be built without one. genomes (genome_name) default to those of the counts."""
+    counts = word_counts(index) if counts is None else counts
+    genomes = counts.select("genome_name").distinct() if genomes is None else genomes
+    useless = F.lit(False) if spec.cutoff is None else F.col("places") >= spec.cutoff
+    few = index if spec.cutoff is None else index.join(counts.where(~useless), ["genome_name", "word"], "left_semi")
+    places = read_words(reads, spec.k, mismatches).join(counts, "word").groupBy("read_id", "genome_name")
+    places = places.agg(F.sum("places").alias("num_raw_seeds"), F.sum(F.when(useless, F.col("places")).otherwise(0)).alias("num_useless"))
+    seeds = combine_seeds(lookup(reads, few, spec, mismatches), spec.k, least)
     n = seeds.groupBy("read_id", "genome_name").agg(F.count(F.lit(1)).alias("num_clumps"))
+    # every read to every genome: as many rows as the result has; genomes are few
+    pairs = reads.select("read_id").crossJoin(F.broadcast(genomes))
+    stats = pairs.join(places, ["read_id", "genome_name"], "left").join(n, ["read_id", "genome_name"], "left")
+    stats = stats.select("read_id", "genome_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("num_raw_seeds", "num_useless", "num_clumps")])
     many = F.lit(False) if repeat_threshold is None else F.col("num_clumps") >= repeat_threshold
-    stats = raw.groupBy("read_id", "genome_name").agg(F.count(F.lit(1)).alias("num_raw_seeds")).join(n, ["read_id", "genome_name"], "left")
-    stats = stats.select("read_id", "genome_name", "num_raw_seeds", F.coalesce("num_clumps", F.lit(0)).alias("num_clumps"), F.when(many, "too_many_seeds").when(F.col("num_clumps").isNull(), "no_seeds").alias("reason"))
+    none = F.col("num_clumps") == 0
+    stats = stats.withColumn("reason", F.when(many, "too_many_seeds").when(none & (F.col("num_useless") > 0), "repeats_only").when(none, "no_seeds"))
     if repeat_threshold is not None:
         seeds = seeds.join(stats.where("reason = 'too_many_seeds'"), ["read_id", "genome_name"], "left_anti")
     return seeds, stats

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions.phred import sum_of
 from readlake.mapping.align import Aligner, align
-from readlake.mapping.index import IndexSpec, seed_reads
+from readlake.mapping.index import IndexSpec, genome_words, seed_reads, word_counts
 from readlake.operators.intervals import translate_back
 from readlake.operators.transforms import fetch_bases, reference_chunks
 
@@ -46,15 +46,17 @@ def align_candidates(aligner: Aligner):
     return run
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: IndexSpec, aligner: Aligner | None = None, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None) -> DataFrame:
+def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: IndexSpec, aligner: Aligner | None = None, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """read_id, genome_name, sequence, start_pos, aln_length, score, map_quality, cigar, reason: the best hit of each read to each genome.
 
     reads: read_id, sequence, quality array<int>; contigs: genome_name, sequence, offset, range_start, range_end, bases. The score is the rounded Phred penalty; map quality is the
     Phred score of the share of all other alignments, null for the only one, at most the aligner's. Reads with seeds but no alignment within
-    max_penalty_per_nuc have the reason bad_alignment, those with too many seeds too_many_seeds, those with matches but no long seed no_seeds.
-    Alignments that end in one place count once. Reads without any match have no row."""
+    max_penalty_per_nuc have the reason bad_alignment, those with too many seeds too_many_seeds, those without a seed repeats_only if some of their words lie at
+    cutoff or more places, else no_seeds. Every read has a row for each genome. Alignments that end in one place count once.
+    counts are the word_counts of the genomes before any cutoff; if not given, they are made from the contigs."""
     a = aligner or Aligner()
-    seeds, stats = seed_reads(reads, index, spec, least, mismatches, repeat_threshold)
+    counts = word_counts(genome_words(contigs, spec)) if counts is None else counts
+    seeds, stats = seed_reads(reads, index, spec, least, mismatches, repeat_threshold, counts, contigs.select("genome_name").distinct())
     r = reads.select("read_id", "sequence", "quality")
     j = seeds.join(r, "read_id").withColumn("back", F.col("query_pos") < 0)
     n = F.length("sequence")

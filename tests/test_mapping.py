@@ -116,6 +116,30 @@ def test_round_trip(spark):
     assert map_reads(r.select("read_id", "sequence", "quality").limit(0), g, ix, spec).count() == 0
 
 
+def _repeats(spark):
+    """Two genomes: one of unique bases before 30 copies of a repeat, one of other bases; and reads of both parts, of neither, and empty ones."""
+    rng = np.random.default_rng(5)
+    one, other, repeat, foreign = ("".join(rng.choice(list("ACGT"), n)) for n in (2000, 500, 100, 60))
+    rows = [("g", "chr1", 0, 0, 5000, one + repeat * 30), ("h", "chr1", 0, 0, 500, other)]
+    g = spark.createDataFrame(rows, "genome_name string, sequence string, offset bigint, range_start bigint, range_end bigint, bases string")
+    reads = [(1, one[300:360]), (2, repeat[20:80]), (3, foreign), (4, ""), (5, None)]
+    return g, spark.createDataFrame([(i, x, None) for i, x in reads], "read_id bigint, sequence string, quality array<int>")
+
+
+def test_every_read_has_a_reason(spark):
+    g, r = _repeats(spark)
+    spec = IndexSpec(12, 4, cutoff=20)
+    want = {(1, "g"): "aligned", (2, "g"): "repeats_only"}
+    for ix in (build_index(g, spec), genome_words(g, spec)):
+        got = {(x.read_id, x.genome_name): x.reason for x in map_reads(r, g, ix, spec).collect()}
+        assert got == {(i, n): want.get((i, n), "no_seeds") for i in range(1, 6) for n in "gh"}
+    _, st = seed_reads(r.select("read_id", "sequence"), genome_words(g, spec), spec)
+    x = {(x.read_id, x.genome_name): x for x in st.collect()}
+    hot = x[2, "g"]
+    assert len(x) == 10 and hot.num_useless == hot.num_raw_seeds > 20 * 10 and hot.num_clumps == 0
+    assert x[1, "g"].num_useless == 0 and x[1, "g"].num_raw_seeds > 0 and x[3, "g"].num_raw_seeds == 0
+
+
 def test_match_probability():
     assert match_probability(1.0, 12, 12) == 1.0 and match_probability(0.5, 2, 2) == 0.25
     assert match_probability(0.5, 2, 3) == pytest.approx(3 / 8) and match_probability(0.5, 2, 2, mismatches=1) == pytest.approx(0.75)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -25,6 +26,7 @@ class Aligner:
     max_penalty_per_nuc: float = 15.0
     max_mapq: int = 254
 
+    @cache  # noqa: B019 - few aligners, each small
     def matrices(self) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the read base (A, C, T, G) given an ambiguity code of the reference, in double and in single strands."""
         tv, ts = self.transversions, self.transversions if self.transitions is None else self.transitions
@@ -82,6 +84,20 @@ def seed_quality(reference: str, read: str, mismatches: int, least: int) -> bool
     return False
 
 
+def align_exact(read: str, quality: list[int] | None, reference: str, a: Aligner, limit: float | None = None) -> tuple[float, int, int, list[tuple[str, int]]] | None:
+    """What align gives, where the read itself stands in reference and no other alignment can be as good: every base costs least at its own letter, and
+    no more than a gap. None wherever that isn't certain."""
+    j = reference.find(read)
+    if j < 0 or a.mean_overhang is not None or not read or set(read) - set("ACGT"):
+        return None
+    pen = -10 * np.log10(np.maximum(a.matrices()[0] @ base_probabilities(read, quality).T, 1e-300))
+    own = pen[codes(read), np.arange(len(read))]
+    gap = min(phred(a.gap_extension), phred(a.gap_extension if a.gap_open is None else a.gap_open))
+    if ((pen <= own + 1e-9).sum(axis=0) > 1).any() or own.max() >= gap or (limit is not None and own.sum() > limit):
+        return None
+    return float(own.sum()), j, j + len(read), [("M", len(read))]
+
+
 def align(read: str, quality: list[int] | None, reference: str, a: Aligner, limit: float | None = None) -> tuple[float, int, int, list[tuple[str, int]]] | None:
     """Phred penalty, start and end in reference, and cigar of the best alignment of the whole read to any part of reference.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.seq import check_repeat, expand_ambiguity, neighbours, reverse_complement
-from readlake.session import spread
+from readlake.session import durable, spread
 
 #: Positions of one piece while words are cut.
 PIECE = 1 << 14
@@ -128,7 +128,8 @@ def seed_reads(
     few = index if spec.cutoff is None else index.join(counts.where(~useless), ["genome_name", "word"], "left_semi")
     places = read_words(reads, spec.k, mismatches).join(counts, "word").groupBy("read_id", "genome_name")
     places = places.agg(F.sum("places").alias("num_raw_seeds"), F.sum(F.when(useless, F.col("places")).otherwise(0)).alias("num_useless"))
-    seeds = combine_seeds(lookup(reads, few, spec, mismatches), spec.k, least)
+    # seeds serve both the statistics and the alignments
+    seeds = durable(combine_seeds(lookup(reads, few, spec, mismatches), spec.k, least))
     n = seeds.groupBy("read_id", "genome_name").agg(F.count(F.lit(1)).alias("num_clumps"))
     # every read to every genome: as many rows as the result has; genomes are few
     pairs = reads.select("read_id").crossJoin(F.broadcast(genomes))

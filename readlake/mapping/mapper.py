@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions.phred import sum_of
-from readlake.mapping.align import Aligner, align
+from readlake.mapping.align import Aligner, align, align_exact
 from readlake.mapping.index import IndexSpec, genome_words, seed_reads, word_counts
 from readlake.operators.intervals import translate_back
-from readlake.operators.transforms import fetch_bases, reference_chunks
+from readlake.operators.transforms import CHUNK, fetch_bases, reference_chunks
+from readlake.session import durable
 
 CANDIDATE = "read_id long, genome_name string, back boolean, start long, stop long, score double, cigar array<struct<op:string,len:int>>"
 #: Reference bases beyond the read on either side of a candidate.
@@ -36,7 +37,8 @@ def align_candidates(aligner: Aligner):
                 q = None if c.quality is None else list(c.quality)
                 if c.back:
                     ref = ref.translate(complement)[::-1]
-                got = align(s, q, ref, a, a.max_penalty_per_nuc * len(s))
+                limit = a.max_penalty_per_nuc * len(s)
+                got = align_exact(s, q, ref, a, limit) or align(s, q, ref, a, limit)
                 if got:
                     score, i, j, cigar = got
                     lo, hi = (c.end - j, c.end - i) if c.back else (c.start + i, c.start + j)
@@ -46,14 +48,15 @@ def align_candidates(aligner: Aligner):
     return run
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: IndexSpec, aligner: Aligner | None = None, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: IndexSpec, aligner: Aligner | None = None, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None, counts: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """read_id, genome_name, sequence, start_pos, aln_length, score, map_quality, cigar, reason: the best hit of each read to each genome.
 
     reads: read_id, sequence, quality array<int>; contigs: genome_name, sequence, offset, range_start, range_end, bases. The score is the rounded Phred penalty; map quality is the
     Phred score of the share of all other alignments, null for the only one, at most the aligner's. Reads with seeds but no alignment within
     max_penalty_per_nuc have the reason bad_alignment, those with too many seeds too_many_seeds, those without a seed repeats_only if some of their words lie at
     cutoff or more places, else no_seeds. Every read has a row for each genome. Alignments that end in one place count once.
-    counts are the word_counts of the genomes before any cutoff; if not given, they are made from the contigs."""
+    counts are the word_counts of the genomes before any cutoff; if not given, they are made from the contigs. chunk is the length of the pieces in which
+    reference is fetched: little more than a contig where contigs are short and many."""
     a = aligner or Aligner()
     counts = word_counts(genome_words(contigs, spec)) if counts is None else counts
     seeds, stats = seed_reads(reads, index, spec, least, mismatches, repeat_threshold, counts, contigs.select("genome_name").distinct())
@@ -64,8 +67,8 @@ def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: Inde
     # seeds of one neighbourhood have one window
     j = j.withColumn("start", F.greatest(F.lit(0), begin - SLACK)).withColumn("end", begin + n + SLACK)
     j = j.dropDuplicates(["read_id", "genome_name", "back", "start"]).withColumn("id", F.struct("read_id", "genome_name", "back", "start"))
-    chunks = reference_chunks(genome_coordinates(contigs))
-    w = fetch_bases(j.select("id", "genome_name", F.lit("").alias("sequence"), "start", "end"), chunks, "id")
+    chunks = reference_chunks(genome_coordinates(contigs), chunk)
+    w = fetch_bases(j.select("id", "genome_name", F.lit("").alias("sequence"), "start", "end"), chunks, "id", chunk)
     c = j.join(w, "id").select("read_id", "genome_name", "back", "start", "end", "sequence", "quality", "bases")
     found = c.mapInPandas(align_candidates(a), CANDIDATE)
     once = found.groupBy("read_id", "genome_name", "back", "start", "stop").agg(F.min(F.struct("score", "cigar")).alias("x"))
@@ -75,6 +78,8 @@ def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: Inde
     share = sum_of(rest) - sum_of(F.col("scores"))
     mapq = F.when(F.size("scores") > 1, F.least(F.lit(a.max_mapq), F.floor(share + 0.5))).cast("int")
     best = best.select("read_id", "genome_name", F.col("b.start").alias("position"), F.when(F.col("b.back"), F.col("b.start") - F.col("b.stop")).otherwise(F.col("b.stop") - F.col("b.start")).cast("int").alias("aln_length"), F.floor(F.col("b.score") + 0.5).cast("int").alias("score"), mapq.alias("map_quality"), "b.cigar")
+    # taken several times by the as-of join, alignments are made once
+    best = durable(best)
     placed = translate_back(best, contigs.select("genome_name", "sequence", "offset", "range_start", "range_end"), "position")
     hits = placed.select("read_id", "genome_name", "sequence", F.col("sequence_pos").alias("start_pos"), "aln_length", "score", "map_quality", "cigar")
     out = stats.select("read_id", "genome_name", F.col("reason").alias("r__")).join(hits, ["read_id", "genome_name"], "left")

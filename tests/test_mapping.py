@@ -140,6 +140,36 @@ def test_every_read_has_a_reason(spark):
     assert x[1, "g"].num_useless == 0 and x[1, "g"].num_raw_seeds > 0 and x[3, "g"].num_raw_seeds == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_alignment_is_the_best(seed):
+    rng = np.random.default_rng(seed)
+    ref = "".join(rng.choice(list("ACGT"), 60))
+    read, a = ref[12:45], al.Aligner()
+    for q in (None, [int(x) for x in rng.integers(5, 41, len(read))]):
+        got, want = al.align_exact(read, q, ref, a), al.align(read, q, ref, a)
+        assert got[0] == pytest.approx(want[0]) and got[1:] == want[1:]
+    assert al.align_exact(read, [1] * len(read), ref, a) is None and al.align_exact("A" + read[1:10] + "N", None, ref, a) is None
+    assert al.align_exact("ACAC", None, "TTACACACTT", a)[1:3] == al.align("ACAC", None, "TTACACACTT", a)[1:3]
+
+
+def test_round_trip_of_3000(spark):
+    g = random_genome(spark, "sim", 200_000).cache()
+    r = sample_reads(g, 200_000, n=3000, gaps=0.002).cache()
+    spec = IndexSpec(12, 4, cutoff=200)
+    m = map_reads(r.select("read_id", "sequence", "quality"), g, build_index(g, spec), spec).join(r.select("read_id", "start", "strand"), "read_id")
+    right = (F.abs(F.col("start_pos") - F.col("start")) <= 3) & ((F.col("aln_length") < 0) == (F.col("strand") == "-"))
+    got = m.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(right, 1)).alias("at_origin"))
+    assert {tuple(x) for x in got.collect()} == {("aligned", 2892, 2892), ("no_seeds", 108, 0)}
+
+
+def test_every_row_is_mapped(spark, small):
+    from readlake.plans import catalog
+
+    n = spark.read.parquet(f"{small}/seq_read.parquet").count()
+    got = {x.reason: x for x in catalog.map_simulated_reads(spark, small).collect()}
+    assert sum(x.n for x in got.values()) == n and 0.8 * n < got["aligned"].at_origin <= got["aligned"].n
+
+
 def test_match_probability():
     assert match_probability(1.0, 12, 12) == 1.0 and match_probability(0.5, 2, 2) == 0.25
     assert match_probability(0.5, 2, 3) == pytest.approx(3 / 8) and match_probability(0.5, 2, 2, mismatches=1) == pytest.approx(0.75)

@@ -75,16 +75,20 @@ def read_words(reads: DataFrame, k: int, mismatches: int = 0) -> DataFrame:
     return r.select("read_id", "offset", F.explode(neighbours(F.col("word"), k, mismatches)).alias("word")) if mismatches else r
 
 
-def lookup(reads: DataFrame, index: DataFrame, spec: IndexSpec, mismatches: int = 0, cutoff: int | None = None, stride: int | None = None) -> DataFrame:
+def lookup(reads: DataFrame, index: DataFrame, spec: IndexSpec, mismatches: int = 0, cutoff: int | None = None, stride: int | None = None, wordsize: int | None = None) -> DataFrame:
     """read_id, genome_name, pos, offset, diag (pos - offset): where words of reads lie in the index; an equi-join on the word.
 
-    cutoff drops words of so many places, stride keeps positions that it divides. Frequent words are dropped when the index is built, so
+    cutoff drops words of so many places, stride keeps positions that it divides, wordsize looks up shorter words, as prefixes of those of the index. Frequent words are dropped when the index is built, so
     a word's matches are bounded by the cutoff."""
+    k = spec.k if wordsize is None else wordsize
+    if k > spec.k:
+        raise ValueError(f"words of {k} in an index of words of {spec.k}")
+    index = index if k == spec.k else index.withColumn("word", F.substring("word", 1, k))
     i = index if stride is None else index.where(F.pmod("pos", F.lit(stride)) == 0)
     if cutoff is not None:
         few = i.groupBy("genome_name", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < cutoff).drop("n")
         i = i.join(few, ["genome_name", "word"], "left_semi")
-    m = read_words(reads, spec.k, mismatches).join(i, "word")
+    m = read_words(reads, k, mismatches).join(i, "word")
     return m.select("read_id", "genome_name", "pos", "offset", (F.col("pos") - F.col("offset")).alias("diag")).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions.phred import sum_of
-from readlake.mapping.align import Aligner, align, align_exact
+from readlake.mapping.align import Aligner, align, align_exact, seed_quality
 from readlake.mapping.index import IndexSpec, genome_words, seed_reads, word_counts
 from readlake.operators.intervals import translate_back
 from readlake.operators.transforms import CHUNK, fetch_bases, reference_chunks
@@ -23,8 +23,9 @@ def genome_coordinates(contigs: DataFrame) -> DataFrame:
     return contigs.select("genome_name", F.lit("").alias("sequence"), F.col("offset").alias("range_start"), "bases")
 
 
-def align_candidates(aligner: Aligner):
-    """An Arrow-batched function from candidates (read, window of reference) to alignments; rows beyond the acceptance limit are left out."""
+def align_candidates(aligner: Aligner, least: int = 1, seed_mismatches: int = 0):
+    """An Arrow-batched function from candidates (read, window of reference, its seeds) to alignments; rows beyond the acceptance limit are left out, and
+    those without a seed of least bases with at most seed_mismatches."""
     a = aligner
     complement = str.maketrans("ACGTUMRWSYKVHDBN", "TGCAAKYWSRMBDHVN")
 
@@ -34,6 +35,11 @@ def align_candidates(aligner: Aligner):
             for c in b.itertuples():
                 s = c.sequence.upper()
                 ref = c.bases.upper()
+                strand = s.translate(complement)[::-1] if c.back else s
+                first = [len(s) + x["query_pos"] if c.back else x["query_pos"] - 1 for x in c.seeds]
+                pairs = [(ref[x["ref_pos"] - c.start :][: x["size"]].replace("U", "T"), strand[i:][: x["size"]]) for x, i in zip(c.seeds, first, strict=True)]
+                if not any(seed_quality(u, v, seed_mismatches, least) for u, v in pairs):
+                    continue
                 q = None if c.quality is None else list(c.quality)
                 if c.back:
                     ref = ref.translate(complement)[::-1]
@@ -48,7 +54,7 @@ def align_candidates(aligner: Aligner):
     return run
 
 
-def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: IndexSpec, aligner: Aligner | None = None, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None, counts: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: IndexSpec, aligner: Aligner | None = None, least: int = 16, mismatches: int = 0, repeat_threshold: int | None = None, counts: DataFrame | None = None, chunk: int = CHUNK, seed_mismatches: int = 0) -> DataFrame:
     """read_id, genome_name, sequence, start_pos, aln_length, score, map_quality, cigar, reason: the best hit of each read to each genome.
 
     reads: read_id, sequence, quality array<int>; contigs: genome_name, sequence, offset, range_start, range_end, bases. The score is the rounded Phred penalty; map quality is the
@@ -56,7 +62,8 @@ def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: Inde
     max_penalty_per_nuc have the reason bad_alignment, those with too many seeds too_many_seeds, those without a seed repeats_only if some of their words lie at
     cutoff or more places, else no_seeds. Every read has a row for each genome. Alignments that end in one place count once.
     counts are the word_counts of the genomes before any cutoff; if not given, they are made from the contigs. chunk is the length of the pieces in which
-    reference is fetched: little more than a contig where contigs are short and many."""
+    reference is fetched: little more than a contig where contigs are short and many. Seeds, found with mismatches in each word, are aligned only where least
+    bases match with at most seed_mismatches."""
     a = aligner or Aligner()
     counts = word_counts(genome_words(contigs, spec)) if counts is None else counts
     seeds, stats = seed_reads(reads, index, spec, least, mismatches, repeat_threshold, counts, contigs.select("genome_name").distinct())
@@ -66,11 +73,12 @@ def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: Inde
     begin = F.when(F.col("back"), F.col("ref_pos") - (n + F.col("query_pos"))).otherwise(F.col("ref_pos") - F.col("query_pos") + 1)
     # seeds of one neighbourhood have one window
     j = j.withColumn("start", F.greatest(F.lit(0), begin - SLACK)).withColumn("end", begin + n + SLACK)
-    j = j.dropDuplicates(["read_id", "genome_name", "back", "start"]).withColumn("id", F.struct("read_id", "genome_name", "back", "start"))
+    window = ["read_id", "genome_name", "back", "start"]
+    j = j.groupBy(*window).agg(F.max("end").alias("end"), F.first("sequence").alias("sequence"), F.first("quality").alias("quality"), F.collect_list(F.struct("ref_pos", "query_pos", "size")).alias("seeds")).withColumn("id", F.struct("read_id", "genome_name", "back", "start"))
     chunks = reference_chunks(genome_coordinates(contigs), chunk)
     w = fetch_bases(j.select("id", "genome_name", F.lit("").alias("sequence"), "start", "end"), chunks, "id", chunk)
-    c = j.join(w, "id").select("read_id", "genome_name", "back", "start", "end", "sequence", "quality", "bases")
-    found = c.mapInPandas(align_candidates(a), CANDIDATE)
+    c = j.join(w, "id").select("read_id", "genome_name", "back", "start", "end", "sequence", "quality", "bases", "seeds")
+    found = c.mapInPandas(align_candidates(a, least, seed_mismatches), CANDIDATE)
     once = found.groupBy("read_id", "genome_name", "back", "start", "stop").agg(F.min(F.struct("score", "cigar")).alias("x"))
     best = once.groupBy("read_id", "genome_name").agg(F.min(F.struct("x.score", "start", "stop", "back", "x.cigar")).alias("b"), F.collect_list("x.score").alias("scores"))
     # alignments of a read are bounded by its seeds; the share of all but the best, in the log domain

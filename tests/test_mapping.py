@@ -170,6 +170,30 @@ def test_every_row_is_mapped(spark, small):
     assert sum(x.n for x in got.values()) == n and 0.8 * n < got["aligned"].at_origin <= got["aligned"].n
 
 
+def test_lookup_of_shorter_words(spark):
+    ix = build_index(contigs(spark, [("g", 100, "ACGTTGCATC")]), IndexSpec(8, 1, 0))
+    r = spark.createDataFrame([(1, "CGTTGA"), (2, "CAACG"), (3, "GGGGGG")], "read_id bigint, sequence string")
+    assert lookup(r, ix, IndexSpec(8, 1)).count() == 0
+    got = {(x.read_id, x.pos, x.offset) for x in lookup(r, ix, IndexSpec(8, 1), wordsize=5).collect()}
+    assert got == {(1, 101, 1), (2, 101, -5)}
+    with pytest.raises(ValueError, match="words of 9"):
+        lookup(r, ix, IndexSpec(8, 1), wordsize=9)
+
+
+def test_seeds_are_checked(spark):
+    g, _ = _repeats(spark)
+    b = g.where("genome_name = 'g'").first().bases[400:432]
+    x = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i in (10, 22) else c for i, c in enumerate(b))
+    back = x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    r = spark.createDataFrame([(1, x, None), (2, back, None)], "read_id bigint, sequence string, quality array<int>")
+    spec = IndexSpec(12, 4)
+    ix = build_index(g, spec).cache()
+    # a perfect stretch of 11 bases at most, of 22 with one mismatch
+    for allowed, reason in ((0, "bad_alignment"), (1, "aligned")):
+        m = map_reads(r, g, ix, spec, least=16, mismatches=1, seed_mismatches=allowed).where("genome_name = 'g'").collect()
+        assert {(y.read_id, y.reason) for y in m} == {(1, reason), (2, reason)}
+
+
 def test_match_probability():
     assert match_probability(1.0, 12, 12) == 1.0 and match_probability(0.5, 2, 2) == 0.25
     assert match_probability(0.5, 2, 3) == pytest.approx(3 / 8) and match_probability(0.5, 2, 2, mismatches=1) == pytest.approx(0.75)

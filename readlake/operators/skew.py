@@ -40,11 +40,12 @@ def key_counts(weighted: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def percentiles(weighted: DataFrame, keys: list[str], ps: tuple[float, ...], levels: int = 3) -> DataFrame:
+def percentiles(weighted: DataFrame, keys: list[str], ps: tuple[float, ...], levels: int | None = None) -> DataFrame:
     """keys, p, quantile: the smallest value with at least a share p of the key's non-null rows at or below it (exact, discrete).
 
     The values are integers. Each level counts the rows of BUCKETS equal buckets of the still open range of (key, p), finds the bucket
-    that holds the wanted rank and opens it; levels must satisfy BUCKETS^levels > range. Keys without a value have no row.
+    that holds the wanted rank and opens it; levels must satisfy BUCKETS^levels > range and by default follow from the greatest range (one row is taken for
+    that, so weighted is best a durable table). Keys without a value have no row.
     """
     w = weighted.where("value is not null").withColumn("value", F.col("value").cast("bigint"))
     k = [F.col(c) for c in keys]
@@ -53,19 +54,29 @@ def percentiles(weighted: DataFrame, keys: list[str], ps: tuple[float, ...], lev
     open_ = ends.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in ps]))).select(
         *keys, "p", "lo", "hi", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("p"))).cast("bigint").alias("rank")
     )
+    minus = "({0} - {1})"
+    if levels is None:
+        span = int(ends.agg(F.max(F.expr("cast(hi as decimal(20)) - lo"))).first()[0] or 0)
+        levels = next(n for n in range(1, 7) if BUCKETS**n > span)
+        if span >= 1 << 62:  # differences are no bigint
+            minus = "(cast({0} as decimal(20)) - {1})"
     for _ in range(levels):
-        width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(BUCKETS)).cast("bigint")
+        # whole numbers throughout, a double would round ranges beyond 2^53
+        width = F.expr(f"cast({minus.format('hi', 'lo')} div {BUCKETS} + 1 as bigint)")
         o = open_.withColumn("width", width)
         hit = w.alias("w").join(o.alias("o"), same("w", "o") & F.expr("w.value between o.lo and o.hi"))
         cut = hit.select(
-            *[F.col(f"w.{c}").alias(c) for c in keys], "o.p", "o.lo", "o.hi", "o.rank", "o.width", F.expr("(w.value - o.lo) div o.width").alias("bucket"), "w.weight"
+            *[F.col(f"w.{c}").alias(c) for c in keys], "o.p", "o.lo", "o.hi", "o.rank", "o.width", F.expr(f"{minus.format('w.value', 'o.lo')} div o.width").alias("bucket"), "w.weight"
         )
         h = cut.groupBy(*keys, "p", "lo", "hi", "rank", "width", "bucket").agg(F.sum("weight").alias("rows"))
         win = Window.partitionBy(*k, "p").orderBy("bucket")
         h = h.withColumn("upto", F.sum("rows").over(win)).where("upto >= rank and upto - rows < rank")
-        lo = F.col("lo") + F.col("bucket") * F.col("width")
+        start = "cast(cast(lo as decimal(20)) + bucket * cast(width as decimal(20)) as bigint)"
+        lo = F.expr(start)
+        # no sum beyond hi, which may be the greatest bigint
+        top = F.when(F.expr(f"{minus.format('hi', start)} < width"), F.col("hi")).otherwise(lo + (F.col("width") - 1))
         open_ = h.select(
-            *keys, "p", lo.alias("lo"), F.least(F.col("hi"), lo + F.col("width") - 1).alias("hi"), (F.col("rank") - F.col("upto") + F.col("rows")).alias("rank")
+            *keys, "p", lo.alias("lo"), top.alias("hi"), (F.col("rank") - F.col("upto") + F.col("rows")).alias("rank")
         )
     return open_.select(*keys, "p", F.col("lo").alias("quantile"))
 

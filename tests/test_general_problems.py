@@ -166,6 +166,15 @@ def test_profile_against_brute_force(spark):
         assert [r.q25, r.q50, r.q75] == [v[max(1, math.ceil(len(v) * p)) - 1] for p in (0.25, 0.5, 0.75)]
 
 
+@pytest.mark.parametrize(("low", "high"), [(0, 1 << 45), (-(1 << 60) - 5, (1 << 60) + 9), (-(1 << 63), (1 << 63) - 1)])
+def test_quartiles_of_wide_ranges(spark, low, high):
+    rng = random.Random(7)
+    values = sorted([low, high] + [rng.randint(low, high) for _ in range(38)])
+    d = spark.createDataFrame([("a", v, 1) for v in values] + [("b", 5, 2), ("c", None, 1)], "k string, value bigint, weight bigint")
+    got = {(r.k, r.p): r.quantile for r in skew.percentiles(d, ["k"], (0.25, 0.5, 0.75, 1.0)).collect()}
+    assert got == {("a", 0.25): values[9], ("a", 0.5): values[19], ("a", 0.75): values[29], ("a", 1.0): high} | {("b", p): 5 for p in (0.25, 0.5, 0.75, 1.0)}
+
+
 def test_heavy_pairs(spark):
     rows = [(i, i, "A" if i < 97 else "b", "x", None, None, None) for i in range(100)] + [(100, 1, None, "x", 1, 1, 1)] * 2
     assert {(r.genome_name, r.sequence) for r in skew.heavy_pairs(_hits(spark, rows)).collect()} == {("a", "x")}

@@ -545,7 +545,8 @@ def word_lookup(s, d):
 
 @query()
 def combined_seeds(s, d):
-    spec = IndexSpec(16, 4, cutoff=50)
+    """Seeds of all reads in all reads, also of the commonest words."""
+    spec = IndexSpec(16, 4)
     m = lookup(table(s, d, "seq_read").select("read_id", "sequence"), build_index(_as_contigs(s, d), spec), spec)
     return combine_seeds(m, 16, 20).select("read_id", "ref_pos", "query_pos", "size")
 

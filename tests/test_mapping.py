@@ -194,6 +194,15 @@ def test_seeds_are_checked(spark):
         assert {(y.read_id, y.reason) for y in m} == {(1, reason), (2, reason)}
 
 
+def test_seeds_of_a_hot_locus(spark, tmp_path):
+    from readlake.plans import catalog
+
+    text = "".join(np.random.default_rng(3).choice(list("ACGT"), 40))
+    spark.createDataFrame([(i, text) for i in range(60)], "read_id bigint, sequence string").write.parquet(str(tmp_path / "seq_read.parquet"))
+    got = {(r.read_id, r.ref_pos // 1000) for r in catalog.combined_seeds(spark, str(tmp_path)).where("query_pos > 0").collect()}
+    assert got == {(i, j) for i in range(60) for j in range(60)}
+
+
 def test_match_probability():
     assert match_probability(1.0, 12, 12) == 1.0 and match_probability(0.5, 2, 2) == 0.25
     assert match_probability(0.5, 2, 3) == pytest.approx(3 / 8) and match_probability(0.5, 2, 2, mismatches=1) == pytest.approx(0.75)

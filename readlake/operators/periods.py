@@ -34,15 +34,16 @@ def _codes(table) -> tuple:
     return a, b, block, enc
 
 
-def _merge(table):
-    """Disjoint intervals of a table of intervals, per (key, block), sorted; touching ones become one."""
+def _merge(table, in_order: bool = False):
+    """Disjoint intervals of a table of intervals, per (key, block); touching ones become one. A table that is in_order (its keys
+    together, starts ascending) keeps its order of keys; codes of names follow first appearance and don't give that order."""
     import numpy as np
     import pyarrow as pa
 
     a, b, block, enc = _codes(table)
     start = np.asarray(table["start"].combine_chunks(), dtype=np.int64)
     end = np.asarray(table["end"].combine_chunks(), dtype=np.int64)
-    order = np.lexsort((start, block, b, a))
+    order = np.arange(len(a)) if in_order else np.lexsort((start, block, b, a))
     a, b, block, start, end = a[order], b[order], block[order], start[order], end[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (block[1:] != block[:-1])
@@ -100,8 +101,7 @@ def _sorted_merger() -> Callable[[Iterable], Iterator]:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            # dictionary codes follow first appearance, so sorted input keeps its order
-            t = _merge(t if carry is None else pa.concat_tables([carry, t]))
+            t = _merge(t if carry is None else pa.concat_tables([carry, t]), in_order=True)
             carry = t.slice(t.num_rows - 1)
             if t.num_rows > 1:
                 yield from t.slice(0, t.num_rows - 1).to_batches(max_chunksize=100_000)

@@ -273,6 +273,18 @@ def test_periods_against_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == _brute(rows, 3000)
 
 
+def test_sorted_merger_carries_over_batches_whatever_order_names_appear_in():
+    import pyarrow as pa
+
+    rows = [("g1", "s5", 0, 1, 5), ("g1", "s9", 0, 1, 5), ("g2", "s1", 0, 1, 5), ("g2", "s5", 0, 1, 5), ("g2", "s5", 0, 3, 9), ("g2", "s5", 0, 9, 12)]
+    names = ["genome_name", "sequence", "block", "start", "end"]
+    batch = lambda rs: pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rs, strict=True)), strict=True)))
+    want = [*rows[:3], ("g2", "s5", 0, 1, 12)]
+    for cut in range(1, len(rows)):
+        got = [tuple(r.values()) for b in periods._sorted_merger()([batch(rows[:cut]), batch(rows[cut:])]) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_periods_touch_across_blocks(spark):
     b = periods.BLOCK
     rows = [(1, 1, "g", "s", b - 10, 10, 1), (2, 1, "g", "s", b, 5, 1), (3, 1, "g", "s", b + 5, 3 * b, 1), (4, 1, "g", "s", 10 * b, 1, 1)]

@@ -1,103 +1,95 @@
 """Problem 10: the subjects that each text treats.
 
 Terms are weighted by how unevenly they fall on the subjects, texts are embedded by truncated singular value decomposition of the
-weighted term matrix (randomised subspace iteration), and subjects are assigned by cosine similarity to centroids that start at the
-hand-labelled texts and are refined from the confident assignments, as are the term weights. Sentences are folded into the same space:
-a text treats a subject if two of its sentences do, or if it is the foremost one; a single comparing sentence is no subject.
-
-Every statistic is taken over all texts. Texts are tokenised once into a table of hashed terms in the shared folder; each pass streams it
-through Arrow batches and returns partial sums whose size is bounded by the hash range, which are summed by shard. The driver and the
-broadcasts hold one row of floats per active hash bucket: 2^18 at most, whatever the corpus.
+weighted term matrix (subspace iteration), and subjects are assigned by cosine similarity to centroids that start at the hand-labelled
+texts and are refined from the confident assignments. Sentences are folded into the same space: a text treats a subject if two of its
+sentences do, or if it is the foremost one; a single comparing sentence is no subject.
+
+The classifier is fitted on a bounded sample of the labelled texts (SAMPLE_TEXTS texts and SAMPLE_CHARS characters at most, an equal
+share of each subject, whole texts), as the share of labelled texts is a matter of hands, not of the corpus. The corpus itself is read
+once: each text, whole, is cut into sentences and assigned in one pass of Arrow batches, without a shuffle and without a table between.
+The model holds the words that the sample makes telling, as words, so that no other word of the corpus is taken for one of them.
 """
 
 import html
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.leakage import words
 from readlake.session import collect_bounded, durable, spread
 
-#: Hash buckets of terms, and dimensions of the embedding.
-BUCKETS, DIMENSIONS = 1 << 18, 64
-#: Rounds of weighting and decomposition, power iterations in each, refinements of the centroids.
-ROUNDS, POWER, REFINE = 2, 2, 2
-#: Texts that a term must occur in, least weight of an active term, and weight (squared, summed) that a sentence with a subject has.
+#: Labelled texts that the fit takes at most, and characters of them all.
+SAMPLE_TEXTS, SAMPLE_CHARS = 24_000, 64 << 20
+#: Dimensions of the embedding, power iterations of the decomposition, refinements of the centroids.
+DIMENSIONS, POWER, REFINE = 64, 2, 2
+#: Texts of the sample that a term must occur in, least weight of an active term, and weight (squared, summed) that a sentence with a subject has.
 MIN_TEXTS, MIN_WEIGHT, MIN_MASS = 3, 0.05, 0.3
 #: Share of the text's own vector that helps to tell an ambiguous sentence, and sentences that make a further subject.
 CONTEXT, SENTENCES = 0.3, 2
-MAX_SUBJECTS = 1000
-SHARD = 1024
+#: Rows of the subject table, which the driver holds; a centroid of 256 bytes each.
+MAX_SUBJECTS = 100_000
+#: Terms and similarities that are worked on at a time.
+BLOCK_TERMS, BLOCK_CELLS = 250_000, 8_000_000
 _CODE = re.compile(r"```.*?```|<pre>.*?</pre>|(?:^|\n)(?: {4}|\t)[^\n]*|https?://\S+", re.S)
 _TAG = re.compile(r"<[^<>]{0,300}>")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
+_PART = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])|(?<=[.!?])\s+|\n\s*\n")
+
 
+def sentences(text: str | None, take=None) -> list[list]:
+    """Distinct words of each sentence outside code and links, without digits and single letters, in lower case without accents.
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence outside code and links, without digits and single letters; sentences without words are left out."""
-    t = _CODE.sub(" ", text or "")
+    With take, the values that it gives for the words, other than None. Sentences without any are left out."""
+    import unicodedata
+
+    t = text or ""
+    if "```" in t or "<pre>" in t or "http" in t or "    " in t or "\t" in t:
+        t = _CODE.sub(" ", t)
     if "<" in t or "&" in t:
         t = _TAG.sub(" ", html.unescape(t))
-    out = []
-    for s in _SENTENCE.split(t):
-        w = [x for x in words(s) if len(x) > 1 and not any(c.isdigit() for c in x)]
-        if w:
-            out.append(w)
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) not in ("Cf", "Mn"))
+    out: list[list] = []
+    now: set = set()
+    for w in _PART.findall(t.lower()):
+        if w[0].isspace():
+            if now:
+                out.append(sorted(now))
+                now = set()
+        elif take is None:
+            now.add(w)
+        elif (x := take(w)) is not None:
+            now.add(x)
+    if now:
+        out.append(sorted(now))
     return out
 
 
-def _tokens(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, terms (hash buckets, distinct within a sentence), ends (of the sentences within terms)."""
-
-    def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-        import xxhash
-
-        seen: dict[str, int] = {}
-
-        def bucket(w: str) -> int:
-            if w not in seen:
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen[w] = xxhash.xxh3_64_intdigest(w) % BUCKETS
-            return seen[w]
-
-        for b in batches:
-            terms, ends = [], []
-            for t in b.column("text").to_pylist():
-                flat: list[int] = []
-                at: list[int] = []
-                for s in sentences(t):
-                    flat += sorted({bucket(w) for w in s})
-                    at.append(len(flat))
-                terms.append(flat)
-                ends.append(at)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), pa.array(terms, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["doc_id", "lang", "terms", "ends"]
-            )
-
-    lang = F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit(""))
-    src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    return spread(src).mapInArrow(run, "doc_id bigint, lang string, terms array<int>, ends array<int>")
-
+class Rows:
+    """Flat terms of some texts, with the text and the sentence of each, and the text of each sentence."""
 
-class Batch:
-    """Sparse rows of an Arrow batch: flat terms with the text and the sentence of each."""
+    def __init__(self, texts: list[list[list[int]]]) -> None:
+        self.n = len(texts)
+        self.terms = np.fromiter((w for t in texts for s in t for w in s), np.int64)
+        self.sizes = np.fromiter((len(s) for t in texts for s in t), np.int64)
+        self.owner = np.repeat(np.arange(self.n), np.fromiter(map(len, texts), np.int64, self.n))
+        self.sentence = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.text = self.owner[self.sentence]
 
-    def __init__(self, b) -> None:
-        t, e = b.column("terms"), b.column("ends")
-        offs = np.asarray(t.offsets).astype(np.int64)
-        self.terms = np.asarray(t.values)[offs[0] : offs[-1]].astype(np.int64)
-        self.n = b.num_rows
-        self.text = np.repeat(np.arange(self.n), np.diff(offs))
-        eoffs = np.asarray(e.offsets).astype(np.int64)
-        ends = np.asarray(e.values)[eoffs[0] : eoffs[-1]].astype(np.int64)
-        self.owner = np.repeat(np.arange(self.n), np.diff(eoffs))  # the text of each sentence
-        ends = ends + (offs[:-1] - offs[0])[self.owner]
-        self.sentence = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))) if len(ends) else np.zeros(0, np.int64)
+    @staticmethod
+    def blocks(texts: list[list[list[int]]]) -> Iterator[tuple[int, "Rows"]]:
+        """The texts in blocks of about BLOCK_TERMS terms: the first text of the block and its rows."""
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            size += sum(map(len, t))
+            if size >= BLOCK_TERMS:
+                yield start, Rows(texts[start : i + 1])
+                start, size = i + 1, 0
+        if start < len(texts):
+            yield start, Rows(texts[start:])
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -109,259 +101,234 @@ def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sentence_sums(r: Rows, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of each sentence's terms: sentences of one length at a time, term by term, which runs along whole rows."""
+    out = np.zeros((len(r.sizes), vectors.shape[1]), np.float32)
+    start = np.cumsum(r.sizes) - r.sizes
+    for n in np.unique(r.sizes):
+        at = np.flatnonzero(r.sizes == n)
+        if n > 64:
+            for i in at:
+                out[i] = vectors[r.terms[start[i] : start[i] + n]].sum(axis=0)
+        else:
+            total = np.zeros((len(at), vectors.shape[1]), np.float32)
+            for k in range(n):
+                total += vectors[r.terms[start[at] + k]]
+            out[at] = total
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 class Model:
-    """Active terms, their weights and vectors, and the centroids with the subject of each."""
+    """Telling words, their weights and vectors, and the centroids with the subject of each."""
 
-    def __init__(self, active: np.ndarray, weight: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None, subject: np.ndarray | None = None) -> None:
-        self.active, self.weight, self.vectors, self.centroids, self.subject = active, weight, vectors, centroids, subject
+    def __init__(self, words: list[str], weight: np.ndarray, vectors: np.ndarray, centroids: np.ndarray | None = None, subject: np.ndarray | None = None) -> None:
+        self.words, self.weight, self.vectors, self.centroids, self.subject = words, weight, vectors, centroids, subject
+        self.weighted = vectors * weight[:, None]
 
     def parts(self) -> tuple:
-        """Plain arrays, as broadcasts are pickled by reference."""
-        return self.active, self.weight, self.vectors, self.centroids, self.subject
-
-    def lookup(self) -> np.ndarray:
-        at = np.full(BUCKETS, -1, np.int64)
-        at[self.active] = np.arange(len(self.active))
-        return at
-
-    def texts(self, b: Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit vectors of the texts; the kept entries' active terms and texts."""
-        a = at[b.terms]
-        keep = a >= 0
-        a, row = a[keep], b.text[keep]
-        return _unit(_row_sums(row, self.vectors[a] * self.weight[a, None], b.n)), a, row
-
-    def assign(self, b: Batch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(texts x subjects) counts of sentences, the sum of their masses, and the unit vectors of the texts."""
-        a = at[b.terms]
-        keep = a >= 0
-        a, sent, row = a[keep], b.sentence[keep], b.text[keep]
-        x = self.vectors[a] * self.weight[a, None]
-        text = _row_sums(row, x, b.n)
-        mass = _row_sums(sent, self.weight[a] ** 2, len(b.owner))
+        """Plain values, as broadcasts are pickled by reference."""
+        return self.words, self.weight, self.vectors, self.centroids, self.subject
+
+    def texts(self, r: Rows) -> np.ndarray:
+        """Unit vectors of the texts."""
+        return _unit(_row_sums(r.owner, _sentence_sums(r, self.weighted), r.n))
+
+    def assign(self, r: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """text, subject, sentences of it and first (the foremost subject of its text), one entry for each subject with a sentence."""
+        x = _sentence_sums(r, self.weighted)
+        text = _unit(_row_sums(r.owner, x, r.n))
+        mass = np.bincount(r.sentence, self.weight[r.terms] ** 2, len(r.owner))
         # unit vectors, as terms that the decomposition holds less of are shorter, and a long text would drown its sentences
-        s = _unit(_row_sums(sent, x, len(b.owner))) + CONTEXT * _unit(text)[b.owner]
-        best = self.subject[(_unit(s) @ self.centroids.T).argmax(axis=1)] if len(s) else np.zeros(0, np.int64)
-        ok = mass > MIN_MASS
+        s = _unit(x) + CONTEXT * text[r.owner]
+        ok = np.flatnonzero(mass > MIN_MASS)
+        step = max(1, BLOCK_CELLS // max(1, len(self.centroids)))
+        best = [(_unit(s[ok[k : k + step]]) @ self.centroids.T).argmax(axis=1) for k in range(0, len(ok), step)]
+        subject = self.subject[np.concatenate(best)] if best else np.zeros(0, np.int64)
         n = int(self.subject.max()) + 1
-        counts, masses = np.zeros((b.n, n), np.int32), np.zeros((b.n, n), np.float32)
-        np.add.at(counts, (b.owner[ok], best[ok]), 1)
-        np.add.at(masses, (b.owner[ok], best[ok]), mass[ok])
-        return counts, masses, _unit(text)
-
-
-def _confident(counts: np.ndarray) -> np.ndarray:
-    """The subject of texts that clearly treat one, else -1."""
-    top = counts.argmax(axis=1)
-    n = counts[np.arange(len(counts)), top] if len(counts) else np.zeros(0)
-    return np.where((n >= 2) & (n >= 0.8 * counts.sum(axis=1)), top, -1)
-
-
-def _subject_counts(tokens: DataFrame, n_subjects: int, judge) -> np.ndarray:
-    """(buckets x (subjects + 1)) numbers of texts that hold a term: by subject of the texts that judge gives one, and of all."""
-    names = ["n", *(f"c{i}" for i in range(n_subjects))]
-
-    def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        total = np.zeros((BUCKETS, n_subjects + 1), np.int64)
-        decide = judge()
-        for rb in batches:
-            b = Batch(rb)
-            pair = np.unique(b.text * BUCKETS + b.terms)
-            text, term = pair // BUCKETS, pair % BUCKETS
-            total[:, 0] += np.bincount(term, minlength=BUCKETS)
-            subject = decide(rb, b)[text]
-            known = subject >= 0
-            np.add.at(total, (term[known], subject[known] + 1), 1)
-        at = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(total[at, i]) for i in range(n_subjects + 1))], names=["bucket", *names])
-
-    part = tokens.mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} bigint" for c in names))
-    rows = part.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).where(F.col("n") >= MIN_TEXTS).toArrow()
-    out = np.zeros((BUCKETS, n_subjects + 1))
-    at = rows["bucket"].to_numpy()
-    for i, c in enumerate(names):
-        out[at, i] = rows[c].to_numpy()
-    return out
-
-
-def _weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Active buckets and their weights: one less the relative entropy of the subjects of a term, smoothed by the subjects' shares."""
-    c = counts[:, 1:]
-    base = c.sum(axis=0) / max(1.0, c.sum())
-    seen = np.flatnonzero(counts[:, 0] >= MIN_TEXTS)
-    c = c[seen]
-    share = np.where(base > 0, base, 1.0)
-    q = (c + base) / (c.sum(axis=1, keepdims=True) + 1) / share
-    q = q / np.maximum(q.sum(axis=1, keepdims=True), 1e-12)
+        pair, at, count = np.unique(r.owner[ok] * n + subject, return_inverse=True, return_counts=True)
+        masses = np.bincount(at, mass[ok], len(pair))
+        # the foremost: most sentences, then most mass
+        order = np.lexsort((pair, -masses, -count, pair // n))
+        owner = (pair // n)[order]
+        return owner, (pair % n)[order], count[order], np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+
+    def confident(self, r: Rows) -> np.ndarray:
+        """The subject of each text that clearly treats one, else -1."""
+        text, subject, count, first = self.assign(r)
+        all_ = np.bincount(text, count, r.n)
+        out = np.full(r.n, -1, np.int64)
+        ok = first & (count >= 2) & (count >= 0.8 * all_[text])
+        out[text[ok]] = subject[ok]
+        return out
+
+
+def _weights(texts: list[list[list[int]]], subject: np.ndarray, n_terms: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each term: one less the relative entropy of the subjects of its texts, smoothed by the subjects' shares; 0 below
+    MIN_TEXTS. Whether it has as many."""
+    pairs = [np.unique(r.text * n_terms + r.terms) + start * n_terms for start, r in Rows.blocks(texts)]
+    pair = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+    text, term = pair // max(1, n_terms), pair % max(1, n_terms)
+    seen = np.bincount(term, minlength=n_terms)
+    cell, c = np.unique(term * n + subject[text], return_counts=True)
+    t, s = cell // n, cell % n
+    base = np.bincount(s, c, n) / max(1, c.sum())
     k = max(2, int((base > 0).sum()))
-    h = -(q * np.log(np.maximum(q, 1e-12))).sum(axis=1) / np.log(k)
-    w = np.clip(1 - h, 0, 1) * (c.sum(axis=1) > 0)
-    keep = w >= MIN_WEIGHT
-    return seen[keep], w[keep].astype(np.float32)
-
-
-def _shard_sums(df: DataFrame, partial: Callable[[], Callable], rows: int, width: int) -> np.ndarray:
-    """Sum over all batches of the (rows x width) matrices that partial adds to, by shards of rows."""
-
-    def emit(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        total = np.zeros((rows, width), np.float32)
-        add = partial()
-        for b in batches:
-            add(b, total)
-        for k in range(0, rows, SHARD):
-            block = total[k : k + SHARD]
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["shard", "block"])
-
-    def gather(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(block, np.float32)
-                sums[k] = sums[k] + x if k in sums else x.astype(np.float64)
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["shard", "block"])
-
-    schema = "shard int, block binary"
-    got = df.mapInArrow(emit, schema).repartition(max(1, min(64, -(-rows // SHARD))), "shard").mapInArrow(gather, schema).collect()
-    out = np.zeros((rows, width), np.float32)
-    for r in got:
-        out[r["shard"] : r["shard"] + SHARD] = np.frombuffer(r["block"], np.float32).reshape(-1, width)
-    return out
-
-
-def _decompose(tokens: DataFrame, active: np.ndarray, weight: np.ndarray, dims: int) -> np.ndarray:
-    """Right singular vectors (active x dims) of the matrix of unit texts, by subspace iteration over all texts."""
-    dims = min(dims, len(active))
-    q = np.linalg.qr(np.random.default_rng(7).normal(size=(len(active), dims)))[0].astype(np.float32)
+    total = np.bincount(t, c, n_terms)
+    # a subject that a term never falls on has the share 1 / (total + 1), any other 1 / (total + 1) + c / base / (total + 1)
+    some = (c / base[s] + 1) / (total[t] + 1)
+    none = np.maximum(0, (base > 0).sum() - np.bincount(t, minlength=n_terms)) / (total + 1)
+    z = np.bincount(t, some, n_terms) + none
+    p, q = some / z[t], 1 / (total + 1) / np.maximum(z, 1e-12)
+    h = -(np.bincount(t, p * np.log(p), n_terms) + none / np.maximum(z, 1e-12) * np.log(np.maximum(q, 1e-12))) / np.log(k)
+    return np.where((seen >= MIN_TEXTS) & (1 - h >= MIN_WEIGHT), np.clip(1 - h, 0, 1), 0).astype(np.float32), seen >= MIN_TEXTS
+
+
+def _decompose(texts: list[list[list[int]]], weight: np.ndarray, dims: int) -> np.ndarray:
+    """Right singular vectors (terms x dims) of the matrix of unit texts, by subspace iteration."""
+    n = len(weight)
+    dims = min(dims, n)
+    q = np.linalg.qr(np.random.default_rng(7).normal(size=(n, dims)))[0].astype(np.float32)
     for _ in range(POWER + 1):
-        shared = tokens.sparkSession.sparkContext.broadcast(Model(active, weight, q).parts())
-
-        def partial(shared=shared):
-            m = Model(*shared.value)
-            at = m.lookup()
-
-            def add(rb, total):
-                b = Batch(rb)
-                a = at[b.terms]
-                keep = a >= 0
-                a, row = a[keep], b.text[keep]
-                x = m.weight[a]
-                norm = np.sqrt(np.maximum(_row_sums(row, x**2, b.n), 1e-12))
-                x = x / norm[row]
-                y = _row_sums(row, m.vectors[a] * x[:, None], b.n)
-                order = np.argsort(a, kind="stable")
-                total += _row_sums(a[order], y[row[order]] * x[order, None], len(m.active))
-
-            return add
-
-        z = _shard_sums(tokens, partial, len(active), dims)
-        q = np.linalg.qr(z.astype(np.float64))[0].astype(np.float32)
-        shared.unpersist()
+        z = np.zeros((n, dims))
+        for _, r in Rows.blocks(texts):
+            x = weight[r.terms]
+            x = x / np.sqrt(np.maximum(_row_sums(r.text, x**2, r.n), 1e-12))[r.text]
+            y = _row_sums(r.text, q[r.terms] * x[:, None], r.n)
+            order = np.argsort(r.terms, kind="stable")
+            z += _row_sums(r.terms[order], y[r.text[order]] * x[order, None], n)
+        q = np.linalg.qr(z)[0].astype(np.float32)
     return q
 
 
-def _centroids(tokens: DataFrame, model: Model, langs: list[str], n: int, decide_by) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids per subject and language that has any, and their subjects."""
-    where = {x: i for i, x in enumerate(langs)}
-    shared = tokens.sparkSession.sparkContext.broadcast(model.parts())
-
-    def partial():
-        m = Model(*shared.value)
-        at = m.lookup()
-        decide = decide_by()
-
-        def add(rb, total):
-            b = Batch(rb)
-            vectors = m.texts(b, at)[0]
-            subject = decide(rb, b)
-            lang = np.array([where.get(x, 0) for x in rb.column("lang").to_pylist()], np.int64)
-            ok = subject >= 0
-            np.add.at(total, subject[ok] * len(where) + lang[ok], vectors[ok])
-
-        return add
-
-    sums = _shard_sums(tokens, partial, n * len(langs), model.vectors.shape[1])
-    there = np.linalg.norm(sums, axis=1) > 1e-6
-    return _unit(sums[there]), (np.arange(n * len(langs)) // len(langs))[there]
-
-
-def _by_label():
-    return lambda rb, b: np.array([-1 if x is None else x for x in rb.column("label").to_pylist()], np.int64)
-
-
-def _by_model(shared) -> Callable:
-    def make():
-        m = Model(*shared.value)
-        at = m.lookup()
-        return lambda rb, b: _confident(m.assign(b, at)[0])
-
-    return make
+def _centroids(texts: list, model: Model, cell: np.ndarray, judge) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids per subject and language that has any, and their numbers. cell holds the language of each text; judge gives the subjects of a block."""
+    langs = int(cell.max()) + 1
+    keys, sums = [], []
+    for start, r in Rows.blocks(texts):
+        subject = judge(start, r)
+        ok = np.flatnonzero(subject >= 0)
+        k = subject[ok] * langs + cell[start + ok]
+        order = np.argsort(k, kind="stable")
+        there, at = np.unique(k[order], return_inverse=True)
+        keys.append(there)
+        sums.append(_row_sums(at, model.texts(r)[ok[order]], len(there)))
+    there, at = np.unique(np.concatenate(keys), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    total = _row_sums(at[order], np.concatenate(sums)[order], len(there))
+    real = np.linalg.norm(total, axis=1) > 1e-6
+    return _unit(total[real]), there[real] // langs
+
+
+def fit(sample: list[tuple[str, str, int]], described: list[tuple[str, str, int]] = (), dims: int = DIMENSIONS) -> Model | None:
+    """The model of (text, language, number of the subject) rows; None where nothing tells subjects apart. The described rows are no
+    running text: that they lack the common words tells nothing, so what the sample has weighs no more than in the sample alone."""
+    real = len(sample)
+    sample = [*sample, *described]
+    number: dict[str, int] = {}
+    raw = [[[number.setdefault(w, len(number)) for w in s] for s in sentences(t)] for t, _, _ in sample]
+    subject = np.array([s for _, _, s in sample], np.int64)
+    if not number:
+        return None
+    n = int(subject.max()) + 1
+    weight, _ = _weights(raw, subject, len(number), n)
+    if described and real:
+        alone, seen = _weights(raw[:real], subject[:real], len(number), n)
+        weight = np.where(seen, np.minimum(weight, alone), weight)
+    active = np.flatnonzero(weight)
+    if not len(active):
+        return None
+    at = np.full(len(number), -1)
+    at[active] = np.arange(len(active))
+    texts = [[y for s in t if (y := [int(at[w]) for w in s if at[w] >= 0])] for t in raw]
+    lang: dict[str, int] = {}
+    cell = np.array([lang.setdefault(x, len(lang)) for _, x, _ in sample], np.int64)
+    words = list(number)
+    model = Model([words[i] for i in active], weight[active], _decompose(texts, weight[active], dims))
+    model.centroids, model.subject = _centroids(texts, model, cell, lambda start, r: subject[start : start + r.n])
+    if not len(model.subject):
+        return None
+    for _ in range(REFINE):
+        c, s = _centroids(texts, model, cell, lambda start, r: model.confident(r))
+        # a subject without a confident text keeps its centroids
+        old = ~np.isin(model.subject, s)
+        model.centroids, model.subject = np.concatenate([c, model.centroids[old]]), np.concatenate([s, model.subject[old]])
+    return model
+
+
+def _sample(documents: DataFrame, labels: DataFrame, names: list[str]) -> list[tuple[str, str, int]]:
+    """text, lang, number of the subject: the labelled texts of the fit, an equal share of each subject, in a fixed order."""
+    spark = documents.sparkSession
+    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("s"))
+    one = one.where(F.size("s") == 1).select("doc_id", F.col("s")[0].alias("subject"))
+    number = {s: i for i, s in enumerate(names)}
+    sizes = {r["subject"]: r["count"] for r in one.groupBy("subject").count().collect() if r["subject"] in number}  # a row for each subject
+    if not sizes:
+        return []
+    each = max(1, SAMPLE_TEXTS // len(sizes))
+    share = spark.createDataFrame([(s, number[s], min(1.0, each / n)) for s, n in sizes.items()], "subject string, number int, share double")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    # SAMPLE_TEXTS ids, or a few more by chance
+    drawn = one.join(F.broadcast(share), "subject").where(draw < F.col("share")).select("doc_id", "number")
+    lang = F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit(""))
+    lang = F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise("")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.col("text").cast("string").alias("text"), lang.alias("lang")).alias("t")).where("t.text is not null")
+    got = durable(texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "number").agg(F.max("t").alias("t")).select("doc_id", "number", "t.text", "t.lang"))
+    order = F.xxhash64("doc_id")
+    size, most = 0, None
+    for r in got.select(order.alias("o"), F.length("text").alias("n")).orderBy("o").collect():
+        size += r["n"]
+        if size > SAMPLE_CHARS:
+            most = r["o"]
+            break
+    rows = got.where(order < most) if most is not None else got
+    return [(r["text"], r["lang"], r["number"]) for r in rows.orderBy(order, "doc_id").collect()]
+
+
+def _described(subjects: list, known: list[int]) -> list[tuple[str, str, int]]:
+    """Rows that stand for the subjects without a labelled text (known has the subject of each): the words of name and description that
+    no other subject's hold, as often as a known subject has texts, lest the decomposition pass over them."""
+    there = set(known)
+    copies = max(MIN_TEXTS, min(len(known) // max(1, len(there)), SAMPLE_TEXTS // max(1, len(subjects))))
+    words = [{w for s in sentences(f"{r['subject']}. {r['description'] or ''}") for w in s} for r in subjects]
+    shared = Counter(w for ws in words for w in ws)
+    return [(" ".join(sorted(w for w in ws if shared[w] == 1)), "", i) for i, ws in enumerate(words) if i not in there for _ in range(copies)]
 
 
 def treated_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
     """doc_id, subject: one row for each subject that a text treats.
 
     labels (doc_id, subject) of texts with exactly one distinct subject are the seeds; labels of unknown subjects or texts, nulls and
-    repeated labels don't matter, and a few wrong ones neither. A subject without any labelled text is never assigned; without any
-    label the result is empty. Null, empty and blank texts, and texts without subject matter, have no row. Each row of documents gives
-    its rows; other columns are ignored; texts may be of any length. lang only separates centroids; null or wrong codes do no harm.
+    repeated labels don't matter, and a few wrong ones neither. A subject without any labelled text is seeded by the words of its name and
+    description (where subjects has one) that no other subject has. Null, empty and blank texts, and texts without subject matter, have no
+    row; without subjects, or with one only, of which nothing tells it apart, the result is empty. Each row of documents gives its rows;
+    other columns are ignored; texts may be of any length. lang only separates centroids; null or wrong codes do no harm.
     """
     spark = documents.sparkSession
-    empty = spark.createDataFrame([], "doc_id bigint, subject string")
-    names = sorted(r[0] for r in collect_bounded(subjects.where("subject is not null").select("subject").distinct(), MAX_SUBJECTS, "subject table"))
-    if not names:
-        return empty
-    number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])
-    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set("subject").alias("s")).where(F.size("s") == 1)
-    one = one.select("doc_id", F.try_element_at(number, F.col("s")[0]).alias("label")).where("label is not null")
-    tokens = durable(_tokens(documents).join(one, "doc_id", "left").select("doc_id", "lang", "terms", "ends", "label"))
-    # two letters, so their number is bounded
-    langs = sorted(r[0] for r in collect_bounded(tokens.select(F.when(F.col("lang").rlike("^[a-z]{2}$"), F.col("lang")).otherwise("").alias("lang")).distinct(), 677, "languages"))
-    langs = sorted({"", *langs})
-    n = len(names)
-    judge = _by_label
-    model = None
-    for _ in range(ROUNDS):
-        counts = _subject_counts(tokens, n, judge)
-        active, weight = _weights(counts)
-        if not len(active):
-            return empty
-        model = Model(active, weight, _decompose(tokens, active, weight, dims))
-        model.centroids, model.subject = _centroids(tokens, model, langs, n, judge)
-        if not len(model.subject):
-            return empty
-        for _ in range(REFINE):
-            shared = spark.sparkContext.broadcast(model.parts())
-            c, s = _centroids(tokens, model, langs, n, _by_model(shared))
-            if len(s):
-                model = Model(active, weight, model.vectors, c, s)
-        judge = _by_model(spark.sparkContext.broadcast(model.parts()))
+    described = F.max(F.col("description").cast("string")) if "description" in subjects.columns else F.lit(None).cast("string")
+    table = sorted(collect_bounded(subjects.where("subject is not null").groupBy("subject").agg(described.alias("description")), MAX_SUBJECTS, "subject table"))
+    names = [r["subject"] for r in table]
+    sample = _sample(documents, labels, names) if names else []
+    described = _described(table, [s for _, _, s in sample])
+    model = fit(sample, described, dims) if sample or described else None
+    if model is None:
+        return spark.createDataFrame([], "doc_id bigint, subject string")
     final = spark.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         m = Model(*final.value)
-        at = m.lookup()
-        for rb in batches:
-            counts, masses, _ = m.assign(Batch(rb), at)
-            # the foremost: most sentences, then most mass
-            top = (counts + masses / (1 + masses.max(initial=0.0))).argmax(axis=1)
-            take = counts >= SENTENCES
-            any_ = counts.any(axis=1)
-            take[np.arange(len(top))[any_], top[any_]] = True
-            row, subject = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id").take(pa.array(row)), pa.array([names[i] for i in subject], pa.string())], names=["doc_id", "subject"])
-
-    return tokens.mapInArrow(run, "doc_id bigint, subject string")
+        number = {w: i for i, w in enumerate(m.words)}.get
+        for b in batches:
+            texts = [sentences(t, number) if t else [] for t in b.column("text").to_pylist()]
+            for start, r in Rows.blocks(texts):
+                text, subject, count, first = m.assign(r)
+                take = first | (count >= SENTENCES)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(start + text[take])), pa.array([names[i] for i in subject[take]], pa.string())], names=["doc_id", "subject"])
+
+    src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(src).mapInArrow(run, "doc_id bigint, subject string")

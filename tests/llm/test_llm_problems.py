@@ -234,3 +234,23 @@ def test_subjects(spark):
     assert subjects.treated_subjects(d, lab.limit(0), sub).count() == 0
     assert subjects.treated_subjects(d.limit(0), lab, sub).count() == 0
     assert subjects.treated_subjects(d, lab, sub.limit(0)).count() == 0
+    # no label of gamma: the words of its description stand for it
+    told = spark.createDataFrame([("alpha", None), ("beta", "posts on beta"), ("gamma", "posts on " + ", ".join(nouns["gamma"]))], "subject string, description string")
+    got = {}
+    for r in subjects.treated_subjects(d, lab.where("subject <> 'gamma'"), told, 8).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    gamma = [i for i in truth if truth[i] == {"gamma"}]
+    assert sum(got.get(i, set()) == {"gamma"} for i in gamma) >= 0.9 * len(gamma)
+
+
+def test_subject_sentences_and_sums():
+    import numpy as np
+
+    assert subjects.sentences("Das Él_x9 v1 café & <b>Tea</b>. Tea tea!\n\nmp3 snake_case a http://x.y/z") == [["cafe", "das", "el", "tea"], ["tea"], ["case", "snake"]]
+    assert subjects.sentences(None) == subjects.sentences("  ") == subjects.sentences("7 8 9") == []
+    assert subjects.sentences("one two. three", {"two": 5}.get) == [[5]]
+    rng = np.random.default_rng(3)
+    texts = [[[int(x) for x in rng.integers(0, 50, n)] for n in rng.integers(1, 90, k)] for k in rng.integers(0, 6, 40)]
+    v = rng.normal(size=(50, 7)).astype(np.float32)
+    for _, r in subjects.Rows.blocks(texts):
+        assert np.allclose(subjects._sentence_sums(r, v), [v[s].sum(axis=0) for t in texts for s in t], atol=1e-4)

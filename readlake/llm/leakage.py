@@ -148,13 +148,14 @@ class Items:
         w = own[k[m]]
         diagonal = k[m] - begin[w] - self.at[entry]
         n = np.diff(self.starts)
-        # a passage drifts by its changed words at most, so it lies within one of two overlapping bands
-        half = np.maximum(4, (3 * n) // 10 + 1)[i]
+        # the shortest stretch that is a passage has less than twice the least span and drifts by its changed words at most, so it lies
+        # within one of two overlapping bands
+        half = np.maximum(4, (3 * np.minimum(n, 2 * -(-SPAN * n // 10))) // 10 + 1)[i]
         out: set[tuple[int, int]] = set()
         for shift in (0, 1):
             band = (diagonal + n[i] + shift * half) // (2 * half)
             order = np.lexsort((band, i, w))
-            x = [c[order] for c in (w, i, band, diagonal)]
+            x = [c[order] for c in (w, i, band, diagonal, m, self.at[entry])]
             new = np.ones(len(order), bool)
             new[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])
             at = np.flatnonzero(new)
@@ -164,6 +165,9 @@ class Items:
                 key = (held[x[0][s]][0], int(self.ids[j]))
                 if key not in out:
                     d, size = x[3][s : s + count[g]], int(n[j])
+                    # each seed of a passage is at a place of its own in the text and in the item
+                    if min(len(np.unique(x[4][s : s + count[g]])), len(np.unique(x[5][s : s + count[g]]))) < self.needed[j]:
+                        continue
                     lo, hi = begin[x[0][s]], begin[x[0][s] + 1]
                     part = flat[max(lo, lo + d.min() - size // 2) : min(hi, lo + d.max() + size + size // 2)]
                     if holds(self.flat[self.starts[j] : self.starts[j + 1]], part):
@@ -171,16 +175,22 @@ class Items:
         return out
 
 
-def holds(item: np.ndarray, part: np.ndarray) -> bool:
-    """Whether a stretch of the best local alignment spans enough of the item's words, enough of them unchanged."""
-    same = align(item, part)
-    span = least_span(len(item))
+def _alike(same: np.ndarray, span: int) -> bool:
+    """Whether some stretch of at least span entries has enough ones."""
     if len(same) < span:
         return False
-    gain = np.concatenate([[0], np.cumsum(10 * same - IDENTITY)])
+    gain = np.concatenate([[0], np.cumsum(10 * same.astype(np.int64) - IDENTITY)])
     return bool((gain[span:] >= np.minimum.accumulate(gain)[: len(gain) - span]).any())
 
 
+def holds(item: np.ndarray, part: np.ndarray) -> bool:
+    """Whether a stretch of the best local alignment spans enough of the item's words, enough of them unchanged.
+
+    Words of the item that stand nowhere in the part are changed in any alignment, which spares most pairs the alignment."""
+    span = least_span(len(item))
+    return _alike(np.isin(item, part), span) and _alike(align(item, part), span)
+
+
 def align(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Best local alignment by Smith-Waterman (match 2, other word -1, gap -1) of the words x and y, coded as numbers: for each word of x
     that it spans, 1 where it is unchanged and 0 where it isn't."""

@@ -118,6 +118,27 @@ def test_hot_group(spark):
     assert got[0].n_members == 1000 and got[0].sequence == "ACGTACGTAC"
 
 
+def test_copies_are_told_by_shared_false_bases(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(120):
+        truth = [rng.choice("ACGT") for _ in range(40)]
+        wrong = lambda t, p: "".join(rng.choice([b for b in "ACGT" if b != x]) if rng.random() < p else x for x in t)  # noqa: E731, B023
+        source = wrong(truth, 0.1)
+        reads = {9: source, 2: source, 5: wrong(truth, 0.02), 7: wrong(truth, 0.02), 3: wrong(truth, 0.02)}  # 2 copies 9, whatever their numbers
+        for run, seq in reads.items():
+            rows.append((g, 0, run, g * 10 + run, seq, [35 if run == 9 else 30] * 40, 40))
+    m = spark.createDataFrame(rows, "group_read_id bigint, fingerprint bigint, run_id bigint, read_id bigint, sequence string, phred array<tinyint>, map_quality int")
+    e = survivor.evidence(m)
+    e = e.where("kind = 'count'").select("source", "leader", "n_right", "n_wrong", "n_shared")
+    pairs = {(r.source, r.leader): r.copying for r in survivor.source_pairs(e).collect()}
+    assert pairs[(2, 9)] > 0.99 and max(p for k, p in pairs.items() if k != (2, 9)) < 0.5
+    stats = {r.source: r for r in survivor.source_statistics(e).collect()}
+    assert stats[2].copying > 0.99 and max(stats[k].copying for k in (3, 5, 7, 9)) < 0.5
+    assert stats[5].accuracy > stats[9].accuracy
+    assert survivor.fuse(m).count() == 120 and survivor.fuse(m.limit(0)).count() == 0
+
+
 # --- 8: tokens ---------------------------------------------------------------------------------------------------------------------------
 
 TEXTS = {1: None, 2: "", 3: "Hello  world\r\n", 4: "naïve 日本語 🙏🏽", 5: "<|endoftext|> x", 6: " \x00퟿", 7: "x" * 20_000 + " é" * 5_000, 8: "Hello  world\r\n"}

@@ -57,7 +57,7 @@ def _units():
 
 def _scores(quality: Column, unit: Column) -> Column:
     """Values of one quality text as doubles in the canonical unit of their dimension."""
-    chars = F.transform(F.split(quality, ""), lambda c: (F.ascii(c) - unit["origin"]).cast("double"))
+    chars = F.transform(F.split(quality, ""), lambda c: (F.ascii(c) - unit["origin"]).cast("double") * unit["scale"] + unit["offset"])
     cut = F.regexp_replace(quality, f"^{SEPARATORS}|{SEPARATORS}$", "")
     numbers = F.transform(F.split(cut, SEPARATORS), lambda v: v.try_cast("double") * unit["scale"] + unit["offset"])
     return F.when(unit["origin"].isNotNull(), chars).otherwise(numbers)
@@ -73,6 +73,12 @@ def _phred(value: Column, dim: Column) -> Column:
     return F.floor(level + 0.5).cast("int")
 
 
+def unread_notes(runs: DataFrame) -> DataFrame:
+    """run_id, run_note of the runs whose note isn't blank and names no unit, or several that differ: their reads' characters decide."""
+    u = runs.where("trim(run_note) <> ''").select("run_id", "run_note", _units()("run_note").alias("u"))
+    return u.where("u.dim is null").select("run_id", "run_note")
+
+
 def normalize_quality(reads: DataFrame, runs: DataFrame, evidence: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """read_id, run_id, sequence, unit (dim, scale, offset, origin), standard (one character per base, Phred, origin 33), phred array<int>, phred_total.
 

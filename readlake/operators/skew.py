@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from readlake.session import clean_genome, clean_sequence, durable
 
-#: Buckets of one level of the descent. Three levels cover a range of 2^36 values, as of genome positions; six any 64-bit range.
+#: Buckets of one level of the descent. Three levels cover a range of 2^36 values, as of genome positions; six any range of bigint.
 BUCKETS = 4096
 
 
@@ -92,7 +92,8 @@ def heavy_pairs(hits: DataFrame, share: float = 0.03, value: str = "map_quality"
 
     Rows with a null genome or sequence count among all rows; a pair with a null is never returned. An empty table gives no row."""
     keys = ["genome_name", "sequence"]
-    per = key_counts(hit_values(hits, value), keys)
+    # a row for each pair, written once, so that the hits are read once for the counts and their sum
+    per = durable(key_counts(hit_values(hits, value), keys))
     total = per.agg(F.sum("n_rows").alias("all_rows"))
     # one row by definition, so the broadcast is bounded
     return (

@@ -48,7 +48,8 @@ def p4_hits(s: SparkSession, d: str) -> DataFrame:
     h = drift.unified_hits(table(s, d, "raw_hit_record"))
     cigar = F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), x["op"])), "")
     return h.select(
-        "record_id", "file_id", "record_no", "genome_name", "sequence", "start_pos", "aln_length", "score", F.round("evalue", 8).alias("evalue"), cigar.alias("cigar"), "map_quality", "taxid", F.size("failed").alias("n_failed")
+        "record_id", "file_id", "record_no", "genome_name", "sequence", "start_pos", "aln_length", "score", F.round("evalue", 8).alias("evalue"), cigar.alias("cigar"), "map_quality", "taxid", F.size("failed").alias("n_failed"),
+        F.try_element_at("rest", F.lit("lane")).try_cast("int").alias("lane"), F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at("rest", F.lit("aligner_build")), F.lit("}")), "$.v").alias("aligner_build"),
     )
 
 
@@ -58,6 +59,21 @@ def p7_found(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_loaded, p3_found, p3_profile, p4_found, p4_hits, p7_found)}
 
+#: Spellings of the fields of a hit in the given tables, in lower case and without underscores, for the SQL only: the operator infers
+#: them. Fixed values.
+SPELLINGS = {
+    "genome_name": ("genomename", "genome", "refgenome"),
+    "sequence": ("sequence", "chrom", "target"),
+    "start_pos": ("startpos", "begin", "pos"),
+    "aln_length": ("alnlength", "alnlen", "refspan", "signedspan"),
+    "score": ("score", "penalty"),
+    "evalue": ("evalue",),
+    "cigar": ("cigar", "cigarstring", "alnops", "editpath"),
+    "map_quality": ("mapquality", "mapq"),
+    "taxid": ("taxid",),
+}
+_FIELD_SQL = "case lower(replace(path, '_', '')) " + " ".join(f"when '{x}' then '{f}'" for f, xs in SPELLINGS.items() for x in xs) + " else path end"
+
 _TEXTS = {
     "odds": r"solexa|log-odds|\(1-p\)",
     "accuracy": r"accuracy|correct",
@@ -138,7 +154,7 @@ select h.genome_name, h.sequence, count(*) as n_rows, count(distinct h.start_pos
 from h left join m on h.genome_name is not distinct from m.genome_name and h.sequence is not distinct from m.sequence and m.k = 1 group by 1, 2""",
     "p4_found": """
 with e as (select producer, file_id, written_at, unnest(json_keys(body)) as path, body from raw_hit_record),
-t as (select producer, file_id, written_at, path, case lower(replace(path, '_', '')) %s else path end as field,
+t as (select producer, file_id, written_at, path, %s as field,
   json_type(body, '$."' || path || '"') as jt, json_type(body, '$."' || path || '"[0]') as et from e),
 k as (select *, case when jt = 'NULL' then null when jt = 'VARCHAR' then 'string' when jt = 'OBJECT' then 'object' when jt = 'ARRAY' then 'array of ' || et else 'number' end as kind from t),
 s as (select producer, file_id, written_at, field, list_sort(list(distinct path)) as paths, list_sort(list(distinct kind) filter (kind is not null)) as kinds from k group by 1, 2, 3, 4),
@@ -148,7 +164,32 @@ o as (select f.file_id, s.field, s.paths as p1, s.kinds as k1, null::varchar[] a
 b as (select file_id, field, max(p1) as p1, max(k1) as k1, max(p0) as p0, max(k0) as k0 from o group by 1, 2)
 select file_id, field, 'added' as change from b where p0 is null union all select file_id, field, 'removed' from b where p1 is null
 union all select file_id, field, 'renamed' from b where p0 <> p1 union all select file_id, field, 'retyped' from b where k0 <> k1 and len(k0) > 0 and len(k1) > 0"""
-    % " ".join(f"when '{x}' then '{f}'" for f, xs in drift.SPELLINGS.items() for x in xs),
+    % _FIELD_SQL,
+    "p4_hits": """
+with d as (select *, row_number() over (partition by file_id, record_no order by record_id) as k from raw_hit_record),
+b as (select record_id, file_id, record_no, case when json_valid(body) and json_type(body) = 'OBJECT' then body end as body from d where k = 1 or file_id is null or record_no is null),
+e as (select record_id, unnest(json_keys(body)) as path, body from b),
+t as (select record_id, %s as field, path, json_extract(body, '$."' || path || '"') as v from e),
+p as (select record_id, field, arg_min(v, path) as v from t where json_type(v) <> 'NULL' and v::varchar <> '[]' group by 1, 2),
+w as (select record_id, %s, max(case when field = 'lane' then v end) as lane, max(case when field = 'aligner_build' then v end) as build from p group by 1),
+n as (select b.record_id, b.file_id, b.record_no, w.* exclude record_id, case when json_type(genome_name) = 'VARCHAR' then genome_name ->> '$' end as g, case when json_type(sequence) = 'VARCHAR' then sequence ->> '$' end as s,
+  %s,
+  case when json_type(aln_length) = 'OBJECT' then case aln_length ->> '$.strand' when '-' then -abs(try_cast(aln_length ->> '$.length' as int)) when '+' then abs(try_cast(aln_length ->> '$.length' as int)) end
+    else try_cast(aln_length ->> '$' as double) end as l,
+  case when json_type(cigar) = 'VARCHAR' then case when regexp_full_match(cigar ->> '$', '([0-9]+[MIDNSHPX=])+') then cigar ->> '$' end
+    when json_type(cigar) = 'ARRAY' and json_type(cigar, '$[0]') = 'OBJECT' then list_aggregate(list_transform(cast(cigar -> '$[*]' as json[]), lambda x: (x ->> '$.len') || (x ->> '$.op')), 'string_agg', '')
+    when json_type(cigar) = 'ARRAY' then list_aggregate(list_transform(cast(cigar as bigint[]), lambda x: (x >> 4) || case x & 15 when 0 then 'M' when 1 then 'I' when 2 then 'D' when 3 then 'N' when 4 then 'S' when 5 then 'H' when 6 then 'P' when 15 then 'X' end), 'string_agg', '') end as c
+  from b left join w on b.record_id = w.record_id)
+select record_id, file_id, record_no, g as genome_name, s as sequence, n_start_pos::bigint as start_pos, l::int as aln_length, n_score::int as score, round(n_evalue, 8) as evalue, c as cigar, n_map_quality::int as map_quality, n_taxid::int as taxid,
+  (genome_name is not null and g is null)::int + (sequence is not null and s is null)::int + (start_pos is not null and n_start_pos is null)::int + (aln_length is not null and l is null)::int + (score is not null and n_score is null)::int
+  + (evalue is not null and n_evalue is null)::int + (cigar is not null and c is null)::int + (map_quality is not null and n_map_quality is null)::int + (taxid is not null and n_taxid is null)::int as n_failed,
+  try_cast(lane ->> '$' as int) as lane, build ->> '$' as aligner_build
+from n"""
+    % (
+        _FIELD_SQL,
+        ", ".join(f"max(case when field = '{f}' then v end) as {f}" for f in SPELLINGS),
+        ", ".join(f"try_cast({f} ->> '$' as double) as n_{f}" for f in ("start_pos", "score", "evalue", "map_quality", "taxid")),
+    ),
     "p7_found": """
 with h as (select distinct regexp_replace(lower(trim(genome_name)), '\\.dna$', '') as genome_name, trim(sequence, ' ' || chr(9)) as sequence, start_pos as s, start_pos + abs(aln_length) as e
   from aln_hit where start_pos is not null and aln_length is not null and aln_length <> 0 and genome_name is not null and sequence is not null),

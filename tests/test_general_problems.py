@@ -215,9 +215,9 @@ RAW = "record_id bigint, producer string, file_id string, written_at timestamp_n
 
 
 def _raw(spark, rows):
-    from datetime import datetime
+    from datetime import datetime, timedelta
 
-    day = lambda n: None if n is None else datetime(2024, 1, 1 + n)
+    day = lambda n: None if n is None else datetime(2024, 1, 1) + timedelta(days=n)
     return clashing(spark.createDataFrame([(i, p, f, day(at), n, b if b is None or isinstance(b, str) else json.dumps(b)) for i, p, f, at, n, b in rows], RAW))
 
 
@@ -253,7 +253,9 @@ def test_unified_hits(spark):
         (6, "a", "f", 0, 3, "[1]"),
         (7, "a", "f", 0, 4, None),
     ]
-    got = {r.record_id: r for r in drift.unified_hits(_raw(spark, rows)).collect()}
+    names = {"genome": "genome_name", "chrom": "sequence", "begin": "start_pos", "penalty": "score", "mapq": "map_quality", "alnlen": "aln_length", "pos": "start_pos", "zscore": "score"}
+    rows[0][5]["lane"], rows[0][5]["taxid"], rows[2][5]["zscore"] = {"a": [1, "x"]}, None, 9
+    got = {r.record_id: r for r in drift.unified_hits(_raw(spark, rows), names).collect()}
     assert set(got) == {1, 3, 4, 5, 6, 7}
     g = got[1]
     assert (g.genome_name, g.sequence, g.start_pos, g.aln_length, g.score, g.map_quality, g.evalue) == ("g", "c", 12, -5, 7, 3, 0.5)
@@ -262,6 +264,29 @@ def test_unified_hits(spark):
     assert {(x.field, x.raw) for x in got[3].failed} == {("score", '"x"'), ("start_pos", "1.5")}
     assert got[5].cigar is None and got[5].failed[0].field == "cigar"
     assert got[6].parsed is False and got[7].parsed is False
+    # nothing of a record is lost: other fields, nulls, further spellings
+    assert g.rest == {"lane": '{"a":[1,"x"]}', "taxid": "null"} and got[3].rest == {"zscore": "9"} and got[6].rest == {}
+
+
+def test_spellings_are_inferred_from_values(spark):
+    rng = random.Random(3)
+    rows, n = [], 0
+    names = {"score": ["score", "weight_of_match"], "cigar": ["cigar", "ops_of_match"], "start_pos": ["start_pos", "Where"], "sequence": ["sequence", "Molecule"]}
+    for f in range(40):
+        key = {k: v[f % 2 if k != "cigar" else f // 2 % 2] for k, v in names.items()}
+        for k in range(25):
+            n += 1
+            body = {
+                key["score"]: rng.choice([int, str])(rng.randint(0, 200)), key["start_pos"]: rng.randint(10**6, 10**8), key["sequence"]: f"chr{rng.choice('123XY')}",
+                key["cigar"]: rng.choice([f"{rng.randint(5, 50)}M", [{"op": "M", "len": rng.randint(5, 50)}]]), "lane": rng.randint(1, 8), "map_quality": rng.randint(0, 60),
+            }
+            if f % 3 == 0:
+                body |= {"built": f"b{k % 4}", "evalue": 1.5e-5, "depth": rng.random() * 10**7}
+            rows.append((n, "p", f"f{f:02}", f, k, body))
+    stats = drift.path_stats(_raw(spark, rows))
+    assert drift.spellings_of(stats) == {"weightofmatch": "score", "opsofmatch": "cigar", "where": "start_pos", "molecule": "sequence"}
+    got = {(r.field, r.change) for r in drift.file_changes(_raw(spark, rows)).where("file_id = 'f01'").collect()}
+    assert got >= {("score", "renamed"), ("start_pos", "renamed"), ("sequence", "renamed"), ("built", "removed")} and ("score", "added") not in got
 
 
 # --- 7: periods --------------------------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,54 +39,79 @@ def edit_header(header: Header, change: Callable[[Header], Header]) -> Header:
     return change(header)
 
 
-def overlap_trim(sequence: str, adapter: str, least: int) -> int:
-    """Bases to cut from the end of sequence, where adapter begins within it and may run past it.
+def overlap_trims(bases: np.ndarray, lengths: np.ndarray, adapter: str, least: int) -> np.ndarray:
+    """Bases to cut from the end of each sequence, where adapter begins within it and may run past it.
+
+    bases holds the sequences backwards, upper-case letters as bytes, a row each; lengths how many of a row count. Of all overlaps of the
+    sequence's end with the adapter's beginning, the one with the fewest differences counts, eight adapter bases that hang over being
+    one difference; of equals the longest. Its score is the adapter's length plus the overlapped bases less eight a difference (1 a
+    match, -3 a mismatch, doubled); it must reach least, with fewer differences than a quarter of the adapter.
 
-    Of all overlaps of the sequence's end with the adapter's beginning, the one with the fewest differences counts, eight adapter bases that
-    hang over being one difference; of equals the longest. Its score is the adapter's length plus the overlapped bases less eight a
-    difference (1 a match, -3 a mismatch, doubled); it must reach least, with fewer differences than a quarter of the adapter."""
-    x, y = sequence[::-1].upper(), adapter[::-1].upper()
-    n, m = len(x), len(y)
+    Dynamic programming over all sequences at once, base by base. A cell holds differences and hanging bases as one number, (differences +
+    hanging // 8) * one + hanging, so that the least number is the best cell, and a gap along the adapter is a running minimum."""
+    y = np.frombuffer(adapter[::-1].upper().encode("latin-1"), np.uint8)
+    m, one = len(y), np.int64(1 << 20)
+    hang = np.arange(m + 1, dtype=np.int64)
+    ramp = hang * one
+    row = np.repeat(((hang // 8) * one + hang)[None], len(bases), axis=0)
     most = m // 4
-    row = [(0, j) for j in range(m + 1)]  # (differences, hanging bases) by adapter base, before any base of the sequence
-    best: tuple[int, int] | None = None
-    for i in range(1, n + 1):
-        new = [(row[0][0] + 1, 0)]
-        for j in range(1, m + 1):
-            d, s = row[j - 1]
-            same = x[i - 1] == y[j - 1] or "N" in (x[i - 1], y[j - 1])
-            new.append(min(((d + (not same), s), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])), key=lambda c: (c[0] + c[1] // 8, c[1])))
-        row = new
-        d, s = row[m]
-        if (rank := (d + s // 8, -i)) and rank[0] < most and (best is None or rank < best):
-            best = rank
-        if min(c[0] for c in row) >= most:
-            break
-    return -best[1] if best and m - best[1] - 8 * best[0] >= least else 0
+    best_rank = np.full(len(bases), most, np.int64)
+    best_at, best_hang = np.zeros(len(bases), np.int64), np.zeros(len(bases), np.int64)
+    for i in range(int(lengths.max(initial=0))):
+        x = bases[:, i, None]
+        other = (x != y) & (x != 78) & (y != 78)  # N agrees with all
+        new = np.empty_like(row)
+        new[:, 0] = row[:, 0] + one
+        new[:, 1:] = np.minimum(row[:, :-1] + other * one, row[:, 1:] + one)
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        rank = row[:, m] // one
+        take = (i < lengths) & (rank < most) & (rank <= best_rank)
+        best_rank[take], best_at[take], best_hang[take] = rank[take], i + 1, row[take, m] % one
+    differences = best_rank - best_hang // 8
+    return np.where((best_at > 0) & (m + best_at - 8 * differences >= least), best_at, 0)
+
+
+def overlap_trim(sequence: str, adapter: str, least: int) -> int:
+    """The same for one sequence."""
+    x = np.frombuffer(sequence[::-1].upper().encode("latin-1", "replace"), np.uint8)
+    return int(overlap_trims(x[None], np.array([len(x)]), adapter, least)[0])
 
 
 def trim(left: Sequence[str] = (), right: Sequence[str] = (), least: int = 4) -> Op:
     """Trailing Ns cut, then each adapter of right at the 3' end and of left at the 5' end; cigars of all hits shortened to match.
 
-    Alignment of an adapter is dynamic programming, so it runs in an Arrow-batched UDF; cigars are trimmed by expressions."""
+    Alignment of an adapter is dynamic programming, so it runs over whole Arrow batches; cigars are trimmed by expressions."""
     lefts, rights = tuple(left), tuple(right)
 
+    cuts = overlap_trims
+
     @F.pandas_udf("struct<l:int,r:int>")
     def points(sequence: pd.Series, l0: pd.Series, r0: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, a, b in zip(sequence, l0, r0, strict=True):
-            if s is None:
-                out.append((None, None))
-                continue
-            a, b = int(a), int(b)
-            while b > a and s[b - 1] in "nN":
-                b -= 1
-            for ad in rights:
-                b -= overlap_trim(s[a:b], ad, least)
-            for ad in lefts:
-                a += overlap_trim(s[a:b][::-1], ad[::-1], least)
-            out.append((a, b))
-        return pd.DataFrame(out, columns=["l", "r"]).astype("Int32")
+        import numpy as np
+
+        there = sequence.notna().to_numpy()
+        text = [s.upper().encode("latin-1", "replace") for s in sequence[there]]
+        a, b = l0[there].to_numpy(np.int64), r0[there].to_numpy(np.int64)
+        for i, s in enumerate(text):
+            b[i] = a[i] + len(s[a[i] : b[i]].rstrip(b"N"))
+        order = np.argsort(b - a)  # blocks of sequences of like length
+        for back, adapters in ((True, rights), (False, lefts)):
+            for ad in adapters:
+                for k in range(0, len(order), 1000):
+                    at = order[k : k + 1000]
+                    parts = [text[i][a[i] : b[i]] for i in at]
+                    size = np.array([len(p) for p in parts], np.int64)
+                    wide = int(size.max(initial=0))
+                    if wide:
+                        rows = np.frombuffer(b"".join((p[::-1] if back else p).ljust(wide, b"\0") for p in parts), np.uint8).reshape(-1, wide)
+                        cut = cuts(rows, size, ad if back else ad[::-1], least)
+                        if back:
+                            b[at] -= cut
+                        else:
+                            a[at] += cut
+        out = pd.DataFrame({"l": pd.array([pd.NA] * len(sequence), "Int32"), "r": pd.array([pd.NA] * len(sequence), "Int32")})
+        out.loc[there, "l"], out.loc[there, "r"] = a.astype(np.int32), b.astype(np.int32)
+        return out
 
     def op(df: DataFrame) -> DataFrame:
         r = F.col("read")

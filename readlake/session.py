@@ -30,10 +30,13 @@ def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set in a local session (tests). On a
+    cluster a machine's own folder would not be seen by the others, so it is an error there."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
         got = spark.sparkContext.getCheckpointDir()
+        if not got and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = got or tempfile.mkdtemp(prefix="readlake-checkpoint-")
     return there
 

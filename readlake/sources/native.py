@@ -165,6 +165,30 @@ def layout(head: bytes) -> str | None:
     return None
 
 
+def _plain(f: BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """(number, message) of messages that follow each other, one at a time."""
+
+    def number() -> int | None:
+        x = shift = 0
+        while b := f.read(1):
+            x |= (b[0] & 127) << shift
+            if b[0] < 128:
+                return x
+            shift += 7
+        if shift:
+            raise ValueError("store ends within a record")
+        return None
+
+    while (key := number()) is not None:
+        n = number()
+        b = f.read(n or 0)
+        if n is None or len(b) != n:
+            raise ValueError("store ends within a record")
+        yield key >> 3, b
+        if key >> 3 == 3:
+            return
+
+
 def messages(f: BinaryIO) -> Iterator[tuple[int, bytes]]:
     """(number, message) of a store of either layout."""
     head = f.read(4096)
@@ -172,8 +196,10 @@ def messages(f: BinaryIO) -> Iterator[tuple[int, bytes]]:
     if kind is None:
         raise ValueError("no store of records")
     f.seek(4)
-    parts: Iterator[bytes] = chunks(f) if kind == "chunks" else iter([f.read()])
-    for b in parts:
+    if kind == "plain":
+        yield from _plain(f)
+        return
+    for b in chunks(f):
         i = 0
         while i < len(b):
             key, i = varint(b, i)

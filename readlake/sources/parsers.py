@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import BinaryIO
 
 NUMBERS = re.compile(rb"^\s*[+-]?\d+(\s+[+-]?\d+)*\s*$")
@@ -53,16 +54,28 @@ def _record(lines: list[bytes], at: int, origin: int, solexa: bool) -> tuple[dic
     return out, i
 
 
-def fastq_lines(lines: list[bytes], origin: int = 33, solexa: bool = False) -> Iterator[dict]:
-    """Records of FastA, FastQ and 4Q, lines without their ends."""
-    i = 0
-    while i < len(lines):
-        if lines[i][:1] in (b"@", b">"):
-            r, i = _record(lines, i, origin, solexa)
+def fastq_lines(lines: Iterable[bytes], origin: int = 33, solexa: bool = False) -> Iterator[dict]:
+    """Records of FastA, FastQ and 4Q from a stream of lines without their ends; holds a few thousand lines, or one record."""
+    source = iter(lines)
+    held: list[bytes] = []
+    size, more = 4096, True
+    while more:
+        got = list(islice(source, size))
+        more = len(got) == size
+        held += got
+        i = 0
+        while i < len(held):
+            if held[i][:1] not in (b"@", b">"):
+                i += 1
+                continue
+            r, end = _record(held, i, origin, solexa)
+            if end >= len(held) and more:  # the record may go on
+                break
             if r:
                 yield r
-        else:
-            i += 1
+            i = end
+        held = held[i:]
+        size = max(4096, len(held))
 
 
 def _starts(lines: list[bytes], i: int, mark: bytes) -> bool:

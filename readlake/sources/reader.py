@@ -3,7 +3,7 @@
 Uncompressed FastA and FastQ files are read in byte ranges; compressed and binary ones by one task per file.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -55,7 +55,7 @@ class _Reader(DataSourceReader):
             return
         with open_plain(p.path) as f:
             if self.kind == "fastq":
-                yield from fastq_lines([x.rstrip(b"\r\n") for x in f], origin, solexa)
+                yield from fastq_lines((x.rstrip(b"\r\n") for x in f), origin, solexa)
             elif self.kind == "bam":
                 yield from bam(f)
             elif self.kind == "sff":
@@ -129,11 +129,28 @@ def as_records(flat: DataFrame, genome: str | None = None) -> DataFrame:
     return sanitize(flat.select(*result(read, hit)))
 
 
+def _sam_fault(c: Column) -> Column:
+    """Why the columns of a SAM line are no alignment, or null."""
+    number = lambda i, kind="int": c[i].try_cast(kind).isNull()
+    seq = F.translate(F.upper(c[9]), ".", "N")
+    return (
+        F.when(F.size(c) < 11, "columns")
+        .when(number(1) | number(3, "bigint") | number(4), "numbers")
+        .when(~c[5].rlike(r"^(\*|(\d+[MIDNSHP=X])+)$"), "cigar")
+        .when(~seq.rlike(r"^([ACGTN]+|\*)$"), "sequence")
+    )
+
+
+def sam_rejects(lines: DataFrame) -> DataFrame:
+    """value, reason (columns, numbers, cigar, sequence: the first that holds) of the SAM lines that sam_rows leaves out but header lines."""
+    return lines.where("value is not null").where(~F.startswith("value", F.lit("@"))).select("value", _sam_fault(F.split("value", "\t")).alias("reason")).where("reason is not null")
+
+
 def sam_rows(lines: DataFrame) -> DataFrame:
     """Flat rows of SAM lines (value): header lines are dropped, reverse reads turned back, unmapped ones lose their hit, UQ goes before AS as score.
-    Column expressions only. Lines with fewer than eleven columns, or with letters other than A, C, G, T, N and '.', are left out."""
+    Column expressions only. Lines that are no alignment are left out; sam_rejects has them with their reason."""
     c = F.split("value", "\t")
-    d = lines.where(~F.startswith("value", F.lit("@"))).select("value", c.alias("c")).where(F.size("c") >= 11)
+    d = lines.where(~F.startswith("value", F.lit("@"))).select("value", c.alias("c")).where(_sam_fault(F.col("c")).isNull())
     col = lambda i: F.col("c")[i]
     flag, mapq, pos = col(1).cast("int"), col(4).cast("int"), col(3).cast("bigint")
     seq = F.translate(F.upper(col(9)), ".", "N")
@@ -146,7 +163,7 @@ def sam_rows(lines: DataFrame) -> DataFrame:
         F.nullif(col(2), F.lit("*")).alias("sequence"), (pos - 1).alias("start_pos"), F.when(back, -span).otherwise(span).cast("int").alias("aln_length"),
         F.coalesce(tag("UQ"), tag("AS")).alias("score"), F.when(mapq < 255, mapq).alias("map_quality"), F.when(back, F.reverse(cigar)).otherwise(cigar).alias("cigar"),
     )
-    return d.where(seq.rlike("^([ACGTN]+|\\*)$")).select(
+    return d.select(
         col(0).alias("seqid"), F.lit(None).cast("string").alias("description"), F.when(back, reverse_complement(seq)).otherwise(seq).alias("sequence"),
         F.when(back, F.reverse(scores)).otherwise(scores).cast("array<int>").alias("quality"), F.lit(None).cast("int").alias("trim_left"), F.lit(None).cast("int").alias("trim_right"),
         F.when(flag.bitwiseAND(4) != 0, F.slice(F.array(hit), 1, 0)).otherwise(F.array(hit)).alias("hit"),

@@ -270,3 +270,14 @@ def test_ranges_against_whole_files():
         data, step = b.encode(), rng.randint(5, 400)
         got = [r for a in range(0, len(data), step) for r in parsers.fastq_range(io.BytesIO(data), a, min(len(data), a + step), 33, False)]
         assert got == list(parsers.fastq_lines(data.split(b"\n")[:-1]))
+
+
+def test_fastq_streams_over_its_buffer():
+    entries = [[b"@r%d" % i, b"ACGT", b"+", b"@III"] if i % 3 else [b">c%d" % i, *[b"ACGTACGT"] * (i % 7)] for i in range(3000)]
+    lines = [x for e in [*entries[:40], [b">long", *[b"A" * 50] * 9000], *entries[40:]] for x in e]
+    want, i = [], 0
+    while i < len(lines):
+        r, i = parsers._record(lines, i, 33, False)
+        if r:
+            want.append(r)
+    assert list(parsers.fastq_lines(iter(lines))) == want and len(want) == 3001

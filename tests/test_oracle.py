@@ -6,10 +6,10 @@ from collections import Counter
 
 import pytest
 
-from readlake.plans import catalog, problems
+from readlake.plans import catalog, formats, problems
 
-QUERIES = problems.QUERIES | catalog.QUERIES
-SQL = problems.SQL | catalog.SQL
+QUERIES = problems.QUERIES | catalog.QUERIES | formats.QUERIES
+SQL = problems.SQL | catalog.SQL | formats.SQL
 
 
 def plain(v):

@@ -71,6 +71,45 @@ def test_best_hit_ties(few):
     assert got[4].s == "d" and got[3].b is None and got[1].k == 300 and got[4].k is None
 
 
+def _trim_cell_by_cell(sequence: str, adapter: str, least: int) -> int:
+    """The same rule, cell by cell."""
+    x, y = sequence[::-1].upper(), adapter[::-1].upper()
+    n, m = len(x), len(y)
+    most = m // 4
+    row = [(0, j) for j in range(m + 1)]  # (differences, hanging bases) by adapter base, before any base of the sequence
+    best: tuple[int, int] | None = None
+    for i in range(1, n + 1):
+        new = [(row[0][0] + 1, 0)]
+        for j in range(1, m + 1):
+            d, s = row[j - 1]
+            same = x[i - 1] == y[j - 1] or "N" in (x[i - 1], y[j - 1])
+            new.append(min(((d + (not same), s), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])), key=lambda c: (c[0] + c[1] // 8, c[1])))
+        row = new
+        d, s = row[m]
+        if (rank := (d + s // 8, -i)) and rank[0] < most and (best is None or rank < best):
+            best = rank
+        if min(c[0] for c in row) >= most:
+            break
+    return -best[1] if best and m - best[1] - 8 * best[0] >= least else 0
+
+
+def test_trimming_against_single_cells():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(40):
+        adapter = "".join(rng.choice("ACGTN" if rng.random() < 0.1 else "ACGT") for _ in range(rng.randint(1, 30)))
+        texts = []
+        for _ in range(25):
+            tail = "".join(c if rng.random() > 0.1 else rng.choice(["", "A", "CG", "N"]) for c in adapter[: rng.randint(0, 30)])
+            texts.append("".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 40))) + tail)
+        wide = max(map(len, texts))
+        rows = np.frombuffer(b"".join(t[::-1].encode().ljust(wide, b"\0") for t in texts), np.uint8).reshape(-1, wide) if wide else np.zeros((25, 0), np.uint8)
+        least = rng.choice([4, 10, 20])
+        got = transforms.overlap_trims(rows, np.array(list(map(len, texts))), adapter, least)
+        assert got.tolist() == [_trim_cell_by_cell(t, adapter, least) for t in texts]
+
+
 def test_masks_and_trims(spark, few):
     assert {r.read_id: r.read.sequence for r in transforms.mask_quality(20)(few).collect()}[2] == "NNNNNN"
     d = rec(spark, [(1, "a", "ACGTACGTTTGGCCNN", None, None, None, [h(cigar="16M", n=16)]), (2, "b", None, None, None, None, []), (3, "c", "TTGGCCAAACGG", None, None, None, [h(cigar="6I6M", n=6)])])

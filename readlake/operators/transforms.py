@@ -56,7 +56,7 @@ def overlap_trims(bases: np.ndarray, lengths: np.ndarray, adapter: str, least: i
     row = np.repeat(((hang // 8) * one + hang)[None], len(bases), axis=0)
     most = m // 4
     best_rank = np.full(len(bases), most, np.int64)
-    best_at, best_hang = np.zeros(len(bases), np.int64), np.zeros(len(bases), np.int64)
+    best_at = np.zeros(len(bases), np.int64)
     for i in range(int(lengths.max(initial=0))):
         x = bases[:, i, None]
         other = (x != y) & (x != 78) & (y != 78)  # N agrees with all
@@ -66,9 +66,8 @@ def overlap_trims(bases: np.ndarray, lengths: np.ndarray, adapter: str, least: i
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
         rank = row[:, m] // one
         take = (i < lengths) & (rank < most) & (rank <= best_rank)
-        best_rank[take], best_at[take], best_hang[take] = rank[take], i + 1, row[take, m] % one
-    differences = best_rank - best_hang // 8
-    return np.where((best_at > 0) & (m + best_at - 8 * differences >= least), best_at, 0)
+        best_rank[take], best_at[take] = rank[take], i + 1
+    return np.where((best_at > 0) & (m + best_at - 8 * best_rank >= least), best_at, 0)
 
 
 def overlap_trim(sequence: str, adapter: str, least: int) -> int:

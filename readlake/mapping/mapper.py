@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from readlake.functions.phred import sum_of
 from readlake.mapping.align import Aligner, align, align_exact, seed_quality
 from readlake.mapping.index import IndexSpec, genome_words, seed_reads, word_counts
+from readlake.operators.filters import select_policies
 from readlake.operators.intervals import translate_back
 from readlake.operators.transforms import CHUNK, fetch_bases, reference_chunks
-from readlake.session import durable
+from readlake.session import collect_bounded, durable
 
 CANDIDATE = "read_id long, genome_name string, back boolean, start long, stop long, score double, cigar array<struct<op:string,len:int>>"
 #: Reference bases beyond the read on either side of a candidate.
@@ -93,3 +94,33 @@ def map_reads(reads: DataFrame, contigs: DataFrame, index: DataFrame, spec: Inde
     out = stats.select("read_id", "genome_name", F.col("reason").alias("r__")).join(hits, ["read_id", "genome_name"], "left")
     reason = F.coalesce("r__", F.when(F.col("score").isNull(), "bad_alignment").otherwise("aligned"))
     return out.select("read_id", "genome_name", "sequence", "start_pos", "aln_length", "score", "map_quality", "cigar", reason.alias("reason"))
+
+
+def map_by_policy(reads: DataFrame, contigs: DataFrame, policies: DataFrame, aligner: Aligner | None = None, chunk: int = CHUNK) -> DataFrame:
+    """What map_reads gives, each read looked up as the policies that match it say: word size, stride and cutoff of each index (a genome by name),
+    least seed length, mismatches in a seed, and repeat threshold.
+
+    reads has seqid besides; policies: see select_policies. Reads that no policy matches, or whose policies name no index, have a row of
+    reason no_policy for each genome. Of several entries for one genome the last counts; a genome that isn't in contigs gives no row.
+    Reads are mapped in as many passes as there are different ways, at most 1000, over indices that are made once each."""
+    how = ["min_seed_len", "max_mismatches_in_seed", "repeat_threshold", "indices"]
+    chosen = durable(select_policies(reads, policies).where("size(indices) > 0").withColumn("way", F.to_json(F.struct(*how), {"ignoreNullFields": "false"})))
+    ways = collect_bounded(chosen.groupBy("way").agg(F.first(F.struct(*how)).alias("h")), 1000, "ways of lookup")
+    words: dict[tuple, DataFrame] = {}
+    rest = reads.join(chosen.select("read_id").distinct(), "read_id", "left_anti").select("read_id")
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in (("sequence", "string"), ("start_pos", "bigint"), ("aln_length", "int"), ("score", "int"), ("map_quality", "int"), ("cigar", "array<struct<op:string,len:int>>"))]
+    # genomes are few
+    out = rest.crossJoin(F.broadcast(contigs.select("genome_name").distinct())).select("read_id", "genome_name", *nulls, F.lit("no_policy").alias("reason"))
+    for r in sorted(ways, key=lambda r: r["way"]):
+        h = r["h"]
+        mine = reads.join(chosen.where(F.col("way") == r["way"]).select("read_id"), "read_id", "left_semi").select("read_id", "sequence", "quality")
+        for ix in {i["name"]: i for i in h["indices"]}.values():
+            spec = IndexSpec(ix["wordsize"] or 12, ix["stride"] or 4, cutoff=ix["cutoff"])
+            c = contigs.where(F.col("genome_name") == ix["name"])
+            at = (ix["name"], spec.k, spec.stride)
+            if at not in words:
+                words[at] = durable(genome_words(c, spec))
+            least = h["min_seed_len"] or 16
+            got = map_reads(mine, c, words[at], spec, aligner, least, 1 if ix["allow_near_perfect"] else 0, h["repeat_threshold"], word_counts(words[at]), chunk, h["max_mismatches_in_seed"] or 0)
+            out = out.unionByName(got)
+    return out

@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.functions import cigar as cg
+from readlake.functions import phred as ph
 from readlake.functions import seq as sq
-from readlake.operators import chains, combine, stats, transforms
-from readlake.plans.catalog import _CONTIGS, _RC, BASE, _contigs, flat, hits, kept, reads, recs
+from readlake.functions.hits import glf_code
+from readlake.mapping.index import index_sensitivity
+from readlake.operators import chains, combine, filters, sorting, stats, transforms
+from readlake.plans.catalog import _CONTIGS, _RC, BASE, SQL as RECORD_SQL, _contigs, flat, hits, kept, reads, recs
+from readlake.plans.pipeline import Branch, Pipeline
 from readlake.plans.problems import table
 from readlake.schema import records
 from readlake.session import checkpoint_dir
+from readlake.sinks import describe
 from readlake.sinks import text as sinks
 from readlake.sources import reader
 
@@ -262,3 +267,107 @@ def teed_records(s, d):
     part = lambda mapped: lambda x: x.where((F.size("hit") > 0) == F.lit(mapped)).select(F.lit(mapped).alias("mapped"), n.cast("bigint").alias("n"))
     both = combine.tee(recs(s, d), there=part(True), not_there=part(False))
     return both["there"].unionByName(both["not_there"]).groupBy("mapped").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("bases"))
+
+
+_CODE = "case when coalesce({0}, '') = '' then 0 else greatest(0, strpos('-ACMTWYHGRSVKDBN', replace(upper({0}), 'U', 'T')) - 1) end"
+_C1, _C2 = _CODE.format("a"), _CODE.format("b")
+
+
+@query(
+    f"""with l as (select read_id, sequence, substr(sequence, 1, 1) as a, substr(sequence, 2, 1) as b from seq_read where length(sequence) > 1), c as (select *, {_C1} as m, {_C2} as n from l)
+select read_id, m::int as code, substr('-ACMTWYHGRSVKDBN', m::int + 1, 1) as letter, (m & n) <> 0 as alike, regexp_full_match(sequence, '[ACGTUMRWSYKVHDBNacgtumrwsykvhdbn-]+') as is_nuc,
+ ((m & 3) + ((m & 4) << 1) + ((m & 8) >> 1))::int as glf from c"""
+)
+def letter_codes(s, d):
+    """First letter of each read as bits and back, whether it may stand for the second, and its bits in the order of likelihood files."""
+    a, b = F.substring("sequence", 1, 1), F.substring("sequence", 2, 1)
+    code = sq.to_ambicode(a)
+    r = table(s, d, "seq_read").where("length(sequence) > 1")
+    return r.select("read_id", code.cast("int").alias("code"), sq.from_ambicode(code).alias("letter"), sq.match(a, b).alias("alike"), sq.encodes_nuc(F.col("sequence")).alias("is_nuc"), glf_code(code).cast("int").alias("glf"))
+
+
+@query("select read_id, regexp_full_match(quality, '\\s*[+-]?\\d+(\\s+[+-]?\\d+)*\\s*') as is_numeric from seq_read where quality is not null")
+def numeric_qualities(s, d):
+    return table(s, d, "seq_read").where("quality is not null").select("read_id", ph.all_ascii_qscores(F.col("quality")).alias("is_numeric"))
+
+
+_PROB = "round(case when bit_count(m) in (0, 4) then 0.25 when (m & {0}) <> 0 then (1 - e) / bit_count(m) else e / (4 - bit_count(m)) end, 9)"
+
+
+@query(
+    f"""with l as (select read_id, upper(substr(sequence, 1, 1)) as a, pow(10, -(read_id % 41) / 10.0) as e from seq_read where length(sequence) > 0), c as (select *, ({_C1})::int as m from l)
+select read_id, {_PROB.format(1)} as a, {_PROB.format(2)} as c, {_PROB.format(8)} as g, {_PROB.format(4)} as t from c"""
+)
+def base_probability(s, d):
+    """Probabilities of the four bases given the first letter and a score."""
+    p = ph.base_probabilities(F.substring("sequence", 1, 1), F.col("read_id") % 41)
+    r = table(s, d, "seq_read").where("length(sequence) > 0")
+    return r.select("read_id", *[F.round(p[i], 9).alias(x) for i, x in enumerate("acgt")])
+
+
+@query(f"{BASE} select read_id, seqid from r")
+def sort_name(s, d):
+    return sorting.sort_by_name()(recs(s, d)).select("read_id", "read.seqid")
+
+
+@query(f"{BASE}, x as (select distinct seqid from r where seqid is not null), y as (select seqid from r where seqid is null) select seqid from x union all select seqid from y")
+def sort_and_merge(s, d):
+    """Redelivered reads become one record in a sort by name."""
+    return sorting.sort_and_merge()(recs(s, d)).select("read.seqid")
+
+
+@query(f"{BASE}, x as (select distinct seqid, read_id % 3 = 0 as k from r where seqid is not null), y as (select seqid from r where seqid is null) select seqid from x union all select seqid from y")
+def mega_merged(s, d):
+    """Two sets joined, a third beside them."""
+    part = lambda n: recs(s, d).where(F.col("read_id") % 3 == n)
+    return combine.mega_merge([[part(1), part(2)], [part(0)]]).select("read.seqid")
+
+
+@query(f"{BASE}, x as (select rr.read_id, count(h.hit_id) as n from rr left join h on h.read_id = rr.read_id group by 1) select count(*) as rows_in, count(*) filter (n > 0) as rows_out, count(*) filter (n = 0) as dropped from x")
+def drop_counts(s, d):
+    """Records before and after an operator, observed while it runs."""
+    op, seen = stats.counted("require hit", filters.require_hit())
+    op(recs(s, d)).write.format("noop").mode("overwrite").save()
+    return s.createDataFrame([(seen.get["rows_in"], seen.get["rows_out"], seen.get["dropped"])], "rows_in bigint, rows_out bigint, dropped bigint")
+
+
+@query(
+    """with x as (select case when read_id % 5 = 0 then 'no_seeds' else 'aligned' end as reason, 't' || (read_id % 3)::varchar as tag, (read_id % 7)::int as n from seq_read)
+select tag, reason, count(*) as records, sum(n)::bigint as num_raw_seeds, 0::bigint as num_useless, count(*)::bigint as num_clumps from x group by 1, 2"""
+)
+def mapping_statistics(s, d):
+    """Statistics that mapping left in records, summed by tag and reason."""
+    k = F.col("read_id")
+    one = F.struct(F.concat(F.lit("t"), (k % 3).cast("string")).alias("tag"), F.when(k % 5 == 0, "no_seeds").otherwise("aligned").alias("reason"), (k % 7).cast("int").alias("num_raw_seeds"), F.lit(None).cast("int").alias("num_useless"), F.lit(1).alias("num_clumps"))
+    return stats.seed_statistics(table(s, d, "seq_read").select(F.array(one).alias("aln_stats")))
+
+
+@query(
+    """with t as (select read_id, start_pos as a, start_pos + abs(aln_length) as b, row_number() over (partition by read_id order by hit_id) as k from aln_hit where read_id is not null and start_pos is not null and aln_length is not null),
+j as (select t.read_id, h.start_pos as p, h.start_pos between t.a - 1 and t.b as inside from t left join aln_hit h on h.read_id = t.read_id and h.start_pos is not null where t.k = 1)
+select count(distinct read_id) as sequences, count(p) as seeds, count(*) filter (inside) as in_region, count(distinct case when inside then read_id end) as found from j"""
+)
+def seed_sensitivity(s, d):
+    """Hits as seeds of their read, the first of each as its origin."""
+    h = table(s, d, "aln_hit").where("read_id is not null and start_pos is not null")
+    first = h.where("aln_length is not null").groupBy("read_id").agg(F.min_by(F.struct("start_pos", "aln_length"), "hit_id").alias("h"))
+    truth = first.select("read_id", F.col("h.start_pos").alias("start"), (F.col("h.start_pos") + F.abs("h.aln_length")).alias("end"))
+    return index_sensitivity(h.select("read_id", F.col("start_pos").alias("ref_pos"), F.lit(1).alias("size")), truth)
+
+
+@query(RECORD_SQL["stats_pipeline"])
+def pipeline_branches(s, d):
+    """A pipeline given as data: records of a store through shared steps to two outputs, of which the statistics are shown."""
+    out = _out(s, "pipeline")
+    sinks.write_records(recs(s, d), f"{out}/in")
+    steps = [("filter-score", {"slope": 7.5, "intercept": 20}), ("only-genomes", {"genomes": ["vor4", "kest2"]}), ("require-hit", {})]
+    p = Pipeline([(f"{out}/in", steps)], [Branch([], "stats", f"{out}/stats"), Branch([("sort-name", {})], "table", f"{out}/table")])
+    p.run(s)
+    like = stats.stats(recs(s, d))
+    return s.read.schema(like.schema).json(f"{out}/stats")
+
+
+@query("select 'parquet' as kind, count(*)::bigint as n_rows from seq_read")
+def file_description(s, d):
+    got = describe.describe(s, f"{d}/seq_read.parquet")
+    return s.createDataFrame([(got["kind"], got["rows"])], "kind string, n_rows bigint")

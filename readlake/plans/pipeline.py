@@ -7,9 +7,28 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlake.operators import combine, contigs, filters, rmdup, sorting, stats, transforms
+from readlake.mapping.align import Aligner
+from readlake.operators import chains, combine, contigs, divergence, filters, intervals, rmdup, sorting, stats, transforms
 from readlake.sinks import text
-from readlake.sources import read
+from readlake.sources import read, reader
+
+
+
+def _regions(inside: bool) -> Callable:
+    def make(path: str, key: str = "read_id") -> Callable:
+        return lambda df: intervals.in_regions(df, reader.read_regions(df.sparkSession, path), inside, key)
+
+    return make
+
+
+def _agrees(left: str, right: str, path: str, key: str = "read_id") -> Callable:
+    return lambda df: chains.agrees_with_chain(left, right, reader.read_chains(df.sparkSession, path), key)(df)
+
+
+def _alignments(contigs_path: str, key: str = "read_id", context: int = 0) -> Callable:
+    """Textual alignments from contig bases kept as Parquet (genome_name, sequence, range_start, bases)."""
+    return lambda df: transforms.add_alignments(df, transforms.reference_chunks(df.sparkSession.read.parquet(contigs_path)), key, context)
+
 
 #: Operators by the names that specs use.
 OPERATORS: dict[str, Callable] = {
@@ -31,6 +50,10 @@ OPERATORS: dict[str, Callable] = {
     "sort-pos": sorting.sort_by_position,
     "sort-name": sorting.sort_by_name,
     "rmdup": rmdup.remove_duplicates,
+    "inside-region": _regions(True),
+    "outside-region": _regions(False),
+    "filter-chain": _agrees,
+    "add-alns": _alignments,
     "duct-tape": lambda **k: lambda df: contigs.duct_tape(df, **k),
 }
 COMBINE: dict[str, Callable] = {"concat": combine.concat, "join": combine.join_reads, "merge": lambda *d: combine.merge_same_reads(combine.concat(*d))}
@@ -43,6 +66,7 @@ OUTPUT: dict[str, Callable] = {
     "table": lambda df, path, **k: text.table_lines(df, **k).write.mode("overwrite").option("sep", "\t").csv(path),
     "wiggle": lambda df, path: text.write_lines(text.wiggle_lines(df), path),
     "stats": lambda df, path: stats.stats(df).write.mode("overwrite").json(path),
+    "divergence": lambda df, path, primary, secondary, **k: divergence.divergence(divergence.divergence_counts(primary, secondary, **k)(df)).write.mode("overwrite").json(path),
     "mismatches": lambda df, path: stats.mismatches(df).write.mode("overwrite").json(path),
 }
 Step = tuple[str, dict]
@@ -126,3 +150,34 @@ def parse_config(text_: str) -> dict:
         return out, i + 1
 
     return block(0)[0]
+
+
+def _listed(x) -> list:
+    return [] if x is None else x if isinstance(x, list) else [x]
+
+
+def policies_of(spark: SparkSession, config: dict) -> DataFrame:
+    """The policies of a parsed configuration as filters.select_policies and mapper.map_by_policy take them, in order of the file."""
+    schema = (
+        "position int, minlength int, maxlength int, name_pattern string, min_seed_len int, max_mismatches_in_seed int, repeat_threshold int,"
+        " indices array<struct<name:string,wordsize:int,stride:int,cutoff:int,allow_near_perfect:boolean>>"
+    )
+    rows = []
+    for i, p in enumerate(_listed(config.get("policy"))):
+        indices = [(x["name"], x.get("wordsize"), x.get("stride"), x.get("cutoff"), bool(x.get("allow_near_perfect", 0))) for x in _listed(p.get("use_compact_index"))]
+        rows.append((i, *(p.get(c) for c in ("minlength", "maxlength", "name_pattern", "min_seed_len", "max_mismatches_in_seed", "repeat_threshold")), indices))
+    return spark.createDataFrame(rows, schema)
+
+
+def aligner_of(config: dict) -> Aligner:
+    """The aligner of a parsed configuration; the default one where it has none."""
+    names = {
+        "rate_of_transversions": "transversions", "rate_of_transitions": "transitions", "gap_open_rate": "gap_open", "gap_extension_rate": "gap_extension", "rate_of_ds_deamination": "ds_deamination",
+        "rate_of_ss_deamination": "ss_deamination", "mean_overhang_length": "mean_overhang", "max_penalty_per_nuc": "max_penalty_per_nuc", "max_mapq": "max_mapq",
+    }
+    return Aligner(**{names[k]: v for k, v in config.get("aligner", {}).items() if k in names})
+
+
+def trimmer_of(config: dict) -> Callable:
+    """The trim step of a parsed configuration."""
+    return transforms.trim(_listed(config.get("trim_left")), _listed(config.get("trim_right")), config.get("min_trim_score", 4))

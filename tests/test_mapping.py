@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from readlake.mapping import align as al
 from readlake.mapping.index import IndexSpec, build_index, combine_seeds, genome_words, index_sensitivity, lookup, seed_reads, word_histogram
-from readlake.mapping.mapper import map_reads
+from readlake.mapping.mapper import map_by_policy, map_reads
 from readlake.mapping.simulate import match_probability, random_genome, sample_reads
 
 
@@ -207,3 +207,34 @@ def test_match_probability():
     assert match_probability(1.0, 12, 12) == 1.0 and match_probability(0.5, 2, 2) == 0.25
     assert match_probability(0.5, 2, 3) == pytest.approx(3 / 8) and match_probability(0.5, 2, 2, mismatches=1) == pytest.approx(0.75)
     assert match_probability(0.98, 12, 24) > match_probability(0.98, 12, 24, stride=4)
+
+
+CONFIG = """
+# two policies
+policy { minlength: 30  maxlength: 60
+  use_compact_index { name: "g" wordsize: 12 stride: 2 cutoff: 500 } min_seed_len: 14 }
+policy { minlength: 61 use_compact_index { name: "g" wordsize: 16 stride: 4 allow_near_perfect: 1 } repeat_threshold: 50 max_mismatches_in_seed: 1 }
+policy { name_pattern: "skip*" maxlength: 20 }
+aligner { rate_of_transversions: 0.003 gap_extension_rate: 0.005 max_mapq: 200 }
+trim_right: "GATCGGAAGAGC"
+"""
+
+
+def test_mapping_by_policies_of_a_configuration(spark):
+    from readlake.plans.pipeline import aligner_of, parse_config, policies_of, trimmer_of
+
+    bases = "".join(np.random.default_rng(8).choice(list("ACGT"), 4000))
+    c = spark.createDataFrame([("g", "s", 0, 0, 4000, bases)], "genome_name string, sequence string, offset bigint, range_start bigint, range_end bigint, bases string")
+    long_ = bases[1000:1080]
+    near = long_[:40] + ("A" if long_[40] != "A" else "C") + long_[41:]
+    rows = [(1, "a", bases[100:140]), (2, "b", long_), (3, "skip1", bases[5:20]), (4, "d", None), (5, "e", near), (6, "f", bases[200:225]), (7, "g", "T" * 40)]
+    r = spark.createDataFrame([(*x, None) for x in rows], "read_id bigint, seqid string, sequence string, quality array<int>")
+    config = parse_config(CONFIG)
+    a = aligner_of(config)
+    assert (a.transversions, a.gap_extension, a.max_mapq, aligner_of({}).max_mapq) == (0.003, 0.005, 200, 254) and trimmer_of(config)
+    p = policies_of(spark, config)
+    got = {x.read_id: (x.reason, x.start_pos, x.aln_length) for x in map_by_policy(r, c, p, a).collect()}
+    none = ("no_policy", None, None)
+    assert got == {1: ("aligned", 100, 40), 2: ("aligned", 1000, 80), 3: none, 4: none, 5: ("aligned", 1000, 80), 6: none, 7: ("no_seeds", None, None)}
+    assert {x.reason for x in map_by_policy(r, c, p.limit(0), a).collect()} == {"no_policy"}
+    assert map_by_policy(r.limit(0), c, p, a).count() == 0

@@ -67,14 +67,14 @@ def check_repeat(word: Column, k: int, most: int | None = None) -> Column:
     return reduce(lambda a, b: a | b, [F.substring(word, 1, k - n) == F.substring(word, n + 1, k - n) for n in range(1, most + 1)])
 
 
-def expand_ambiguity(word: Column, most: int = 256) -> Column:
-    """All words over ACGT that a word with ambiguity codes stands for; an empty list if there are more than most, or for a gap."""
+def expand_ambiguity(word: Column, most: int | None = None) -> Column:
+    """All words over ACGT that a word with ambiguity codes stands for; an empty list for a gap, or if there are more than most (None: any number, which
+    is 4^k for a word of k Ns)."""
     table = {c: [b for b, bit in (("A", 1), ("C", 2), ("T", 4), ("G", 8)) if i & bit] for i, c in enumerate(CODES) if i}
     options = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(b) for b in x]) for kv in table.items() for x in kv])
     choice = lambda c: F.coalesce(F.try_element_at(options, c), F.array().cast("array<string>"))
-    grow = lambda acc, c: F.when(F.size(acc) * F.size(choice(c)) > most, F.array().cast("array<string>")).otherwise(
-        F.flatten(F.transform(acc, lambda p: F.transform(choice(c), lambda b: F.concat(p, b))))
-    )
+    longer = lambda acc, c: F.flatten(F.transform(acc, lambda p: F.transform(choice(c), lambda b: F.concat(p, b))))
+    grow = longer if most is None else lambda acc, c: F.when(F.size(acc) * F.size(choice(c)) > most, F.array().cast("array<string>")).otherwise(longer(acc, c))
     return F.aggregate(F.split(F.translate(F.upper(word), "U", "T"), ""), F.array(F.lit("")), grow)
 
 

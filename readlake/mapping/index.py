@@ -16,13 +16,14 @@ PIECE = 1 << 14
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """Word size, stride of the words kept, longest self-overlap that is looked for (default half a word), and the number of places from which on a
-    word is dropped."""
+    """Word size, stride of the words kept, longest self-overlap that is looked for (default half a word), the number of places from which on a word is
+    dropped, and how many words one with ambiguity codes may stand for without being dropped (None: any number)."""
 
     k: int = 12
     stride: int = 4
     repeat: int | None = None
     cutoff: int | None = None
+    expansions: int | None = None
 
 
 def genome_words(contigs: DataFrame, spec: IndexSpec) -> DataFrame:
@@ -37,7 +38,7 @@ def genome_words(contigs: DataFrame, spec: IndexSpec) -> DataFrame:
     w = c.select("genome_name", "start", "piece", F.explode(at).alias("i"))
     w = w.select("genome_name", (F.col("start") + F.col("i")).alias("pos"), F.substr("piece", F.col("i") + 1, F.lit(spec.k)).alias("word"))
     plain = F.col("word").rlike("^[ACGT]*$")
-    w = w.select("genome_name", "pos", F.explode(F.when(plain, F.array("word")).otherwise(expand_ambiguity(F.col("word")))).alias("word"))
+    w = w.select("genome_name", "pos", F.explode(F.when(plain, F.array("word")).otherwise(expand_ambiguity(F.col("word"), spec.expansions))).alias("word"))
     return w.where(~check_repeat(F.col("word"), spec.k, spec.repeat))
 
 

@@ -14,12 +14,15 @@ from readlake.functions.seq import effective_sequence, reverse_complement
 from readlake.operators.intervals import as_of
 from readlake.operators.periods import merge_intervals
 from readlake.schema import HIT, READ, complete, result
+from readlake.session import durable
 
 #: Genotypes and the letter of each. Fixed values.
 GENOTYPES = ("AA", "CC", "GG", "TT", "AC", "AG", "AT", "CG", "CT", "GT")
 LETTERS = "ACGTMRWSYK"
 #: Columns that one contig record holds at most; longer contigs come as consecutive records.
 RECORD = 1_000_000
+#: Reference positions (a power of two) whose reads go to one task, and reads of one such block from which on it is hot.
+BLOCK_BITS, HOT = 14, 100_000
 
 
 @dataclass(frozen=True)
@@ -91,17 +94,20 @@ def _spread(cigar: Column, start: Column) -> Column:
 
 
 def pileup(rows: DataFrame) -> DataFrame:
-    """One row per read and column: contig keys, pos, ord, base (null: deleted), quality, error (Phred, the smaller of base and map quality),
-    crossing (the read also covers pos + 1), index and length of the read."""
-    keep = rows.select("genome_name", "sequence", "contig_start", "map_quality", "bases", "quality", "start", "end", "cigar")
-    d = keep.select("genome_name", "sequence", "contig_start", "map_quality", "bases", "quality", "end", F.explode(_spread(F.col("cigar"), F.col("start"))).alias("c"))
-    d = d.where(F.col("c.q").isNull() | (F.col("c.q") <= F.length("bases")))
+    """One row per read and column: contig keys, block, pos, ord, base (null: deleted), quality, error (Phred, the smaller of base and map quality),
+    crossing (the read also covers pos + 1), index and length of the read. Rows with a block give only the columns that lie in it."""
+    own = F.col("block") if "block" in rows.columns else F.lit(None).cast("bigint")
+    keep = rows.select("genome_name", "sequence", "contig_start", own.alias("own"), "map_quality", "bases", "quality", "start", "end", "cigar")
+    d = keep.select("genome_name", "sequence", "contig_start", "own", "map_quality", "bases", "quality", "end", F.explode(_spread(F.col("cigar"), F.col("start"))).alias("c"))
+    at = F.shiftright("c.pos", BLOCK_BITS)
+    d = d.where(F.col("own").isNull() | (F.col("own") == at)).withColumn("block", F.coalesce("own", at)).where(F.col("c.q").isNull() | (F.col("c.q") <= F.length("bases")))
     base = F.when(F.col("c.q").isNotNull(), F.substr("bases", F.col("c.q"), F.lit(1)))
     q = F.coalesce(F.try_element_at("quality", F.col("c.q")), F.lit(30))
     return d.select(
         "genome_name",
         "sequence",
         "contig_start",
+        "block",
         F.col("c.pos").alias("pos"),
         F.col("c.ord").alias("ord"),
         base.alias("base"),
@@ -125,28 +131,56 @@ def _allele_likelihoods(damage: Damage | None) -> dict[str, Column]:
     return {"A": seen("A"), "C": (1 - rate) * seen("C") + rate * seen("T"), "G": (1 - rate) * seen("G") + rate * seen("A"), "T": seen("T")}
 
 
+def _three_ways(pile: DataFrame, known: Column) -> tuple[DataFrame, list[Column], dict[str, Column]]:
+    """Without damage a read weighs a genotype in one of three ways, by how many of its alleles the base is: sums for these, and the ten
+    genotypes from the sums."""
+    e = F.greatest(F.lit(1e-25), F.pow(F.lit(10.0), F.col("error") / -10))
+    pile = pile.withColumn("e", F.when(known, e))
+    pile = pile.withColumns({"two": F.log10(1 - F.col("e")) * -10, "one": F.log10((1 - F.col("e") + F.col("e") / 3) / 2) * -10, "none": F.log10(F.col("e") / 3) * -10})
+    of = lambda c, b: F.coalesce(F.sum(F.when(F.col("base") == b, F.col(c) - F.col("none"))), F.lit(0.0)).alias(f"{c}{b}")
+    sums = [F.coalesce(F.sum("none"), F.lit(0.0)).alias("none"), *[of(c, b) for c in ("two", "one") for b in "ACGT"]]
+    return pile, sums, {g: F.col("none") + (F.col(f"two{g[0]}") if g[0] == g[1] else F.col(f"one{g[0]}") + F.col(f"one{g[1]}")) for g in GENOTYPES}
+
+
+def contig_columns(rows: DataFrame, prior: float = 0.001, damage: Damage | None = None) -> DataFrame:
+    """columns of all rows (see placed and assign_contigs). The reads of a block of positions go to one task, which then piles up its columns by
+    itself, so that reads are shuffled and not their bases. Of hot blocks, of HOT reads and more, the columns are combined in the tasks that hold the
+    reads and shuffled then, as few columns stand for many bases there."""
+    by = ["genome_name", "sequence", "contig_start", "block"]
+    # a read with an insert before its first match also has columns at the position before it
+    cut = rows.withColumn("block", F.explode(F.sequence(F.shiftright(F.col("start") - 1, BLOCK_BITS), F.shiftright(F.col("end") - 1, BLOCK_BITS))))
+    hot = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("reads__")).where(F.col("reads__") >= HOT).drop("reads__")
+    calm = cut.join(hot, by, "left_anti").repartition(*by)
+    return columns(pileup(calm), prior, damage).unionByName(columns(pileup(cut.join(hot, by, "left_semi")), prior, damage))
+
+
 def columns(pile: DataFrame, prior: float = 0.001, damage: Damage | None = None) -> DataFrame:
     """One row per column that a contig keeps: contig keys, pos, ord, call (letter, or '-' for a deletion), quality, likelihoods (ten, Phred above
     the best, at most 255), depth, seen (A, C, G, T), square (sum of squared map qualities), n.
 
     A column is one aggregate over (contig, pos, ord), combined map-side. A base is called if more reads show one than a gap; inserts that
     at most half the reads crossing them carry are left out. With damage, reads are explained by deamination towards their ends."""
-    key = ["genome_name", "sequence", "contig_start", "pos", "ord"]
+    key = ["genome_name", "sequence", "contig_start", "block", "pos", "ord"]
     known = F.col("base").isin("A", "C", "G", "T")
-    pile = pile.withColumns({f"l_{b}": c for b, c in _allele_likelihoods(damage).items()})
-    p = {b: F.col(f"l_{b}") for b in "ACGT"}
-    pair = lambda g: p[g[0]] if g[0] == g[1] else (p[g[0]] + p[g[1]]) / 2
+    if damage is None or not damage.ds_rate:
+        pile, weighed, after = _three_ways(pile, known)
+    else:
+        pile = pile.withColumns({f"l_{b}": c for b, c in _allele_likelihoods(damage).items()})
+        p = {b: F.col(f"l_{b}") for b in "ACGT"}
+        pair = lambda g: p[g[0]] if g[0] == g[1] else (p[g[0]] + p[g[1]]) / 2
+        weighed, after = [F.coalesce(F.sum(F.when(known, F.log10(pair(g)) * -10)), F.lit(0.0)).alias(g) for g in GENOTYPES], {}
     agg = pile.groupBy(*key).agg(
         F.count("base").alias("observed"),
         F.count(F.when(F.col("base").isNull(), 1)).alias("gaps"),
         F.count(F.when(F.col("crossing"), 1)).alias("across"),
-        *[F.coalesce(F.sum(F.when(known, F.log10(pair(g)) * -10)), F.lit(0.0)).alias(g) for g in GENOTYPES],
+        *weighed,
         *[F.count(F.when(F.col("base") == b, 1)).cast("int").alias(f"n{b}") for b in "ACGT"],
         F.sum(F.when(F.col("ord") == 0, F.col("map_quality").cast("double") * F.col("map_quality"))).alias("square"),
         F.count(F.lit(1)).alias("n"),
     )
+    agg = agg.withColumns(after)
     # rows of one position: itself and its inserts
-    w = Window.partitionBy(*key[:4])
+    w = Window.partitionBy(*key[:5])
     a = agg.withColumn("crossed", F.max(F.when(F.col("ord") == 0, F.col("across"))).over(w))
     gaps = F.when(F.col("ord") == 0, F.col("gaps")).otherwise(F.greatest(F.lit(0), F.coalesce("crossed", F.lit(0)) - F.col("observed")))
     a = a.withColumn("gapped", gaps).where("ord = 0 or observed > gapped")
@@ -163,7 +197,7 @@ def columns(pile: DataFrame, prior: float = 0.001, damage: Damage | None = None)
     lk = F.array(*[F.least(F.lit(255), F.floor(F.col(g) - low + 0.5)).cast("int") for g in GENOTYPES])
     called = F.col("observed") > F.col("gapped")
     return a.select(
-        *key,
+        *[k for k in key if k != "block"],
         F.when(~called, "-").when(F.col("nA") + F.col("nC") + F.col("nG") + F.col("nT") == 0, "N").otherwise(letter).alias("call"),
         F.when(called, quality).otherwise(0).alias("quality"),
         lk.alias("likelihoods"),
@@ -179,7 +213,7 @@ def duct_tape(df: DataFrame, label: str = "contig", prior: float = 0.001, damage
 
     Names are label, sequence and start, so they don't depend on order. The map quality is the root mean square of the reads'. A contig of more
     than longest positions comes in consecutive records, so that no record, and no task, grows without bound."""
-    c = columns(pileup(assign_contigs(placed(df, genomes, key))), prior, damage)
+    c = contig_columns(durable(assign_contigs(placed(df, genomes, key))), prior, damage)
     return assemble(c, label, longest)
 
 

@@ -433,7 +433,7 @@ y as (select *, coalesce(max(case when ord = 0 then across end) over (partition
 )
 def contig_columns(s, d):
     """Pileup of every best hit into contig columns, summed by sequence."""
-    c = contigs.columns(contigs.pileup(contigs.assign_contigs(contigs.placed(recs(s, d)))))
+    c = contigs.contig_columns(durable(contigs.assign_contigs(contigs.placed(recs(s, d)))))
     return c.groupBy("genome_name", "sequence").agg(
         F.count(F.lit(1)).alias("n_columns"), F.sum(F.col("depth").cast("bigint")).alias("bases"), F.count(F.when(F.col("ord") > 0, 1)).alias("inserts"), F.count(F.when((F.col("ord") == 0) & (F.col("call") == "-"), 1)).alias("deletions")
     )
@@ -454,7 +454,7 @@ def duct_tape_ancient(s, d):
 
 @query(f"{BASE}{_COLUMNS} select g as genome_name, s as sequence, pos::bigint as pos, observed::int as depth from y where ord = 0")
 def coverage(s, d):
-    c = contigs.columns(contigs.pileup(contigs.assign_contigs(contigs.placed(recs(s, d)))))
+    c = contigs.contig_columns(durable(contigs.assign_contigs(contigs.placed(recs(s, d)))))
     return contigs.coverage(c).select("genome_name", "sequence", "pos", "depth")
 
 
@@ -615,7 +615,7 @@ def observed_sites(s, d):
     """Start of each hit as a site: bases seen there and whether a gap is near."""
     rows = contigs.assign_contigs(contigs.placed(recs(s, d))).where("genome_name = 'vor4'")
     ends = rows.select("sequence", "contig_start", "contig_end").distinct()
-    cols = contigs.columns(contigs.pileup(rows)).join(ends, ["sequence", "contig_start"])
+    cols = contigs.contig_columns(durable(rows)).join(ends, ["sequence", "contig_start"])
     h = hits(s, d).where("genome_name = 'vor4' and sequence is not null and start_pos is not null").select(F.col("sequence").alias("chrom"), F.col("start_pos").alias("pos")).distinct()
     sites = h.select(F.struct("chrom", "pos").alias("site_id"), "chrom", "pos", F.lit("+").alias("strand"), F.lit(None).cast("bigint").alias("end"))
     o = variants.observe_sites(sites, cols)

@@ -21,6 +21,8 @@ FIELDS = ("genome_name", "sequence", "start_pos", "aln_length", "score", "evalue
 DIVERGENCE, TOGETHER = 1.0, 0.1
 #: Divergence of a value of a form (number, text, array of objects ...) that the field's values don't have: fields may change their type.
 OTHER_FORM = 4.0
+#: Longest shape of a text that is kept in full, in characters; a digest of the whole stands for a longer one, and is longer than that.
+LONG_SHAPE = 64
 #: Spellings that the driver and the plan hold at most.
 MAX_SPELLINGS = 100_000
 #: Operation letters of a packed cigar, length * 16 + code. Fixed values.
@@ -83,18 +85,22 @@ def path_stats(records: DataFrame) -> DataFrame:
     """producer, file_id, written_at, path, type, form, shape, n: rows of each file that hold the path with a value of that type and shape.
 
     form: number (a JSON number, or a text that spells one), text, or the type. shape: sign, wholeness and binary magnitude of a number, a
-    text with its digit groups as 9 (64 characters of it, as it is only a statistic), the schema of anything else. Nulls and empty
-    arrays have neither type nor shape. A file without any path has one row of a null path. Rows without file_id, producer or
-    written_at are left out."""
+    whole text with its digit groups as 9 (# and the SHA-256 of that where it is longer than LONG_SHAPE, as shapes are only compared), the
+    schema of anything else. Nulls and empty arrays have neither type nor shape. A file without any path has one row of a null path.
+    Rows without file_id, producer or written_at are left out."""
     v, is_object = _object()
     r = records.where("file_id is not null and producer is not null and written_at is not null").select("producer", "file_id", "written_at", v.alias("v"), is_object.alias("o"))
     e = r.select("producer", "file_id", "written_at", F.explode_outer(F.when(F.col("o"), F.col("v")).cast("map<string,variant>")).alias("path", "value"))
     e = e.select("producer", "file_id", "written_at", "path", json_type(F.col("value")).alias("type"), F.schema_of_variant("value").alias("s"), F.try_variant_get("value", "$", "string").alias("t"))
-    number = F.when(F.col("type").isin("number", "string"), F.col("t").try_cast("double"))
+    # columns of their own, so that each is computed once for a value
+    e = e.withColumn("number", F.when(F.col("type").isin("number", "string"), F.col("t").try_cast("double")))
+    number = F.col("number")
+    counted = number.isNotNull() & ~F.isnan(number)
+    e = e.withColumn("text", F.when((F.col("type") == "string") & ~counted, F.regexp_replace("t", "[0-9]+", "9")))
     magnitude = F.floor(F.log2(F.greatest(F.abs(number), F.lit(1e-300)))).cast("string")
     shape = (
-        F.when(number.isNotNull() & ~F.isnan(number), F.concat(F.when(number < 0, "-").otherwise("+"), F.when(number == F.floor(number), "i").otherwise("d"), magnitude))
-        .when(F.col("type") == "string", F.regexp_replace(F.left("t", F.lit(64)), "[0-9]+", "9"))
+        F.when(counted, F.concat(F.when(number < 0, "-").otherwise("+"), F.when(number == F.floor(number), "i").otherwise("d"), magnitude))
+        .when(F.col("type") == "string", F.when(F.length("text") > LONG_SHAPE, F.concat(F.lit("#"), F.sha2("text", 256))).otherwise(F.col("text")))
         .when(F.col("type").isNotNull(), F.col("s"))
     )
     form = F.when(number.isNotNull(), "number").when(F.col("type") == "string", "text").otherwise(F.col("type"))

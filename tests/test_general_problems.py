@@ -289,6 +289,30 @@ def test_spellings_are_inferred_from_values(spark):
     assert got >= {("score", "renamed"), ("start_pos", "renamed"), ("sequence", "renamed"), ("built", "removed")} and ("score", "added") not in got
 
 
+def test_spellings_are_told_by_whole_texts(spark):
+    rng = random.Random(4)
+    stem = "assembly/of/the/laboratory/" + "part/" * 20
+    rows, n = [], 0
+    for f in range(40):
+        for k in range(25):
+            n += 1
+            # digit groups count as one sign, so that a long text may have a short shape
+            chrom = f"{stem}chr{rng.choice('XYZ')}" if k % 5 else f"chr{'0' * rng.choice([1, 90])}{rng.randint(1, 9)}"
+            body = {"sequence": chrom} if f % 2 else {"Molecule": chrom, "remark": stem + rng.choice(["checked", "to be read again", "withdrawn"])}
+            rows.append((n, "p", f"f{f:02}", f, k, body))
+    stats = drift.path_stats(_raw(spark, rows))
+    # paths that differ only behind a long common beginning are different fields; a spelling of such texts is found still
+    assert drift.spellings_of(stats) == {"molecule": "sequence"}
+    kinds = {r.path: r.kinds for r in stats.groupBy("path").agg(F.count_distinct("shape").alias("kinds")).collect()}
+    assert kinds == {"sequence": 4, "Molecule": 4, "remark": 3}
+    # a text of any length is a shape of a bounded size
+    assert stats.agg(F.max(F.length("shape"))).first()[0] <= 65
+    got = {(r.field, r.change) for r in drift.file_changes(_raw(spark, rows)).where("file_id = 'f01'").collect()}
+    assert got == {("sequence", "renamed"), ("remark", "removed")}
+    hits = drift.unified_hits(_raw(spark, rows)).where("file_id = 'f00'").collect()
+    assert all(r.sequence and set(r.rest) == {"remark"} for r in hits)
+
+
 # --- 7: periods --------------------------------------------------------------------------------------------------------------------------
 
 

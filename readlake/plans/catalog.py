@@ -15,8 +15,8 @@ from readlake.functions import cigar as cg
 from readlake.functions import phred as ph
 from readlake.functions import seq as sq
 from readlake.functions.hits import best_hit, hit_to
-from readlake.mapping import mapper
-from readlake.mapping.index import IndexSpec, build_index, combine_seeds, genome_words, lookup, word_counts, word_histogram
+from readlake.mapping import bulk
+from readlake.mapping.index import IndexSpec, build_index, combine_seeds, genome_words, lookup, word_histogram
 from readlake.operators import chains, combine, contigs, divergence, filters, intervals, rmdup, sorting, stats, transforms, variants
 from readlake.plans.problems import table
 from readlake.schema import records, sanitize_reads
@@ -629,12 +629,9 @@ def map_simulated_reads(s, d):
     the first wins, so a copy of an earlier read lies there instead."""
     left, n = F.coalesce("trim_left", F.lit(0)), sq.effective_length(F.struct("sequence", "trim_left", "trim_right"))
     r = reads(s, d).select("read_id", F.substr("sequence", left + 1, n).alias("sequence"), F.slice("quality", left + 1, F.greatest(F.lit(0), n)).alias("quality"), left.alias("left"))
-    r = durable(r)
     # contigs lie 1000 positions apart
     c = _as_contigs(s, d).select("genome_name", F.floor(F.col("offset") / 1000).cast("string").alias("sequence"), "offset", F.lit(0).cast("bigint").alias("range_start"), F.length("bases").cast("bigint").alias("range_end"), "bases")
-    spec = IndexSpec(16, 4, cutoff=200)
-    index = durable(genome_words(c, spec))
-    m = mapper.map_reads(r.select("read_id", "sequence", "quality"), c, index, spec, counts=word_counts(index), chunk=1000).join(r.select("read_id", "left"), "read_id")
+    m = bulk.map_all(r.select("read_id", "sequence", "quality"), c, "reads", IndexSpec(16, 4, cutoff=200), chunk=4000).join(r.select("read_id", "left"), "read_id")
     right = (F.col("sequence") == F.col("read_id").cast("string")) & (F.abs(F.col("start_pos") - F.col("left")) <= 3) & (F.col("aln_length") > 0)
     return m.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(right, 1)).alias("at_origin"))
 

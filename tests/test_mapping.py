@@ -170,6 +170,85 @@ def test_every_row_is_mapped(spark, small):
     assert sum(x.n for x in got.values()) == n and 0.8 * n < got["aligned"].at_origin <= got["aligned"].n
 
 
+def _odd(spark):
+    """Contigs side by side, with repeats, ambiguity codes and lower case; reads of both strands with changes, at ends, with Ns, empty, null and hot ones."""
+    rng = np.random.default_rng(11)
+    turned = str.maketrans("ACGT", "TGCA")
+    bases = lambda n: "".join(rng.choice(list("ACGT"), n))
+    repeat, texts = bases(50), [bases(900), bases(40), bases(9), bases(300).lower()]
+    texts += [repeat * 30, texts[0][200:400] + bases(60), texts[0][100:160] + "N" + texts[0][161:230] + "R" + texts[0][231:300], "N" * 5 + bases(70), texts[0][300:420] + texts[0][310:430]]
+    rows, offset = [], 0
+    for i, x in enumerate(texts):
+        rows.append(("g", f"s{i % 5}", offset, 1000 * i, 1000 * i + len(x), x))
+        offset += len(x) + 1
+    rows += [("other", "s0", 0, 0, 900, texts[0]), ("g", "s9", offset + 5000, 7, 7, None)]
+    c = spark.createDataFrame(rows, "genome_name string, sequence string, offset bigint, range_start bigint, range_end bigint, bases string")
+    reads = [None, "", "ACGT", "N" * 40, bases(60), repeat[:45], texts[1], texts[1][:30] + bases(30), bases(20) + texts[0][:50], "N" + texts[0][600:640] + "NN" + texts[0][642:680]]
+    for _ in range(150):
+        x = texts[int(rng.integers(0, len(texts)))].upper()
+        n = int(rng.integers(14, 90))
+        i = int(rng.integers(0, max(1, len(x) - n)))
+        s = list(x[i : i + n].replace("N", "A").replace("R", "G"))
+        for _ in range(int(rng.integers(0, 4))):
+            at, how = int(rng.integers(0, len(s))), rng.random()
+            s[at : at + 1] = [str(rng.choice(list("ACGT")))] if how < 0.5 else [s[at], "G"] if how < 0.75 else s[at : at + 1] if len(s) < 3 else []
+        s = "".join(s)
+        reads.append(s.translate(turned)[::-1] if rng.random() < 0.5 else s.lower() if rng.random() < 0.1 else s)
+    qualities = [None if s is None or rng.random() < 0.2 else rng.integers(2, 41, len(s)).tolist() for s in reads]
+    return c, spark.createDataFrame([(i * 7919 - 100, *x) for i, x in enumerate(zip(reads, qualities, strict=True))], "read_id bigint, sequence string, quality array<int>")
+
+
+@pytest.mark.parametrize(("k", "stride", "cutoff", "least", "threshold"), [(16, 4, 10, 16, None), (11, 1, None, 18, 3), (31, 2, None, 33, None)])
+def test_mapping_of_whole_tables(spark, monkeypatch, k, stride, cutoff, least, threshold):
+    from readlake.mapping import bulk
+
+    for name, value in (("BASES", 300), ("WORDS", 100), ("MATCHES", 50), ("ROWS", 4000), ("HELD", 1000), ("BATCH", 7)):
+        monkeypatch.setattr(bulk, name, value)
+    c, r = _odd(spark)
+    spec = IndexSpec(k, stride, cutoff=cutoff)
+    own = c.where("genome_name = 'g' and bases is not null")
+    aligner = None if k == 16 else al.Aligner(gap_open=0.001, gap_extension=0.05, max_penalty_per_nuc=2.0)
+    rows = lambda m: {x.read_id: tuple(x) for x in m.collect()}
+    want = rows(map_reads(r, own, genome_words(own, spec).cache(), spec, aligner, least, repeat_threshold=threshold))
+    got = rows(bulk.map_all(r, c, "g", spec, aligner, least, threshold, chunk=64))
+    assert len(want) == r.count() and got == want
+    assert {x[-1] for x in want.values()} >= {"aligned", "no_seeds"} | ({"repeats_only"} if k == 16 else set()) | ({"too_many_seeds"} if threshold else set())
+    if k == 16:
+        assert bulk.map_all(r.limit(0), c, "g", spec).count() == 0 and {x.reason for x in bulk.map_all(r, c, "none", spec).collect()} == {"no_seeds"}
+    with pytest.raises(ValueError, match="words of 32"):
+        bulk.map_all(r, c, "g", IndexSpec(32))
+
+
+def test_mapping_writes_no_words(spark, small, monkeypatch):
+    from readlake.mapping import bulk
+    from readlake.plans import catalog
+
+    monkeypatch.setattr(catalog, "durable", lambda df: pytest.fail("a table was written"))
+    monkeypatch.setattr("readlake.mapping.index.durable", lambda df: pytest.fail("a table was written"))
+    monkeypatch.setattr("readlake.mapping.index.read_words", lambda *a: pytest.fail("words were made rows"))
+    assert sum(x.n for x in catalog.map_simulated_reads(spark, small).collect()) == spark.read.parquet(f"{small}/seq_read.parquet").count()
+    # 60 bases have 90 words of both strands
+    rng = np.random.default_rng(1)
+    r = spark.createDataFrame([(i, "".join(rng.choice(list("ACGT"), 60))) for i in range(2000)], "read_id bigint, sequence string").coalesce(1)
+    blocks = r.mapInArrow(bulk.read_stretches(16, 4), bulk.BLOCK)
+    assert blocks.agg(F.sum(F.length("block"))).first()[0] < 2000 * 140
+
+
+def test_many_alignments_at_once():
+    from readlake.mapping import bulk
+
+    rng = np.random.default_rng(2)
+    refs = ["".join(rng.choice(list("ACGTN"), int(n), p=[0.24, 0.24, 0.24, 0.24, 0.04])) for n in rng.integers(30, 80, 100)]
+    reads = ["".join(c for j, c in enumerate(x[5:-5]) if j != i % 9).replace("N", "A")[i % 4 :] + "ACG"[: i % 3] for i, x in enumerate(refs)] + [""]
+    refs.append("ACGT")
+    for a in (al.Aligner(max_penalty_per_nuc=1.0), al.Aligner(gap_open=0.001, gap_extension=0.05, ds_deamination=0.02)):
+        limits = np.array([a.max_penalty_per_nuc * len(x) for x in reads])
+        got = bulk.align_many([al.codes(x) for x in reads], [al.codes(x) for x in refs], bulk.penalties(a, np.array([30]))[0], a, limits)
+        for x, ref, limit, y in zip(reads, refs, limits, got, strict=True):
+            want = al.align(x, None, ref, a, limit)
+            assert (y is None) == (want is None) and (y is None or (y[0] == pytest.approx(want[0]) and y[1:] == want[1:]))
+
+
 def test_lookup_of_shorter_words(spark):
     ix = build_index(contigs(spark, [("g", 100, "ACGTTGCATC")]), IndexSpec(8, 1, 0))
     r = spark.createDataFrame([(1, "CGTTGA"), (2, "CAACG"), (3, "GGGGGG")], "read_id bigint, sequence string")

@@ -6,6 +6,7 @@ reference. Rows are blocks of columns, a bucket is held in memory at once and ha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby, product
 
 import numpy as np
@@ -479,9 +480,8 @@ def contig_blocks(chunk: int, reach: int, buckets: int):
 _COMPLEMENT = bytes.maketrans(b"ACGTUMRWSYKVHDBN", b"TGCAAKYWSRMBDHVN")
 
 
-def penalties(a: Aligner, values: np.ndarray) -> np.ndarray:
-    """Penalty by score (an index into values), letter of the read and letter of the reference, both as codes; in double strands."""
-    mat = a.matrices()[0]
+def penalties(mat: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Penalty by score (an index into values), letter of the read and letter of the reference, both as codes; mat is one of the aligner's matrices."""
     return np.stack([-10 * np.log10(np.maximum(mat @ base_probabilities(CODES, [q] * 16).T, 1e-300)).T for q in values.tolist()])
 
 
@@ -514,10 +514,10 @@ def without_gaps(reads: list[np.ndarray], refs: list[np.ndarray], pen: np.ndarra
         out[batch[b]] = (float(score[b]), int(best[b]), int(best[b] + n[b]), [("M", int(n[b]))])
 
 
-def align_many(reads: list[np.ndarray], refs: list[np.ndarray], pen: list[np.ndarray], a: Aligner, limits: np.ndarray) -> list[tuple[float, int, int, list[tuple[str, int]]] | None]:
-    """What align gives without single-stranded ends, for many pairs at once. reads index the rows of pen, refs are codes."""
+def align_many(reads: list[np.ndarray], refs: list[np.ndarray], pen: np.ndarray, opn: float, ext: float, limits: np.ndarray) -> list[tuple[float, int, int, list[tuple[str, int]]] | None]:
+    """What align gives without single-stranded ends, for many pairs at once. reads index the rows of pen, refs are codes; opn and ext are penalties of gaps."""
     out: list = [None] * len(reads)
-    ext, opn, inf = phred(a.gap_extension), phred(a.gap_extension if a.gap_open is None else a.gap_open), 1e30
+    inf = 1e30
     flat_pen = pen.reshape(-1)
     order = sorted((i for i in range(len(reads)) if len(reads[i]) and len(refs[i])), key=lambda i: (len(reads[i]), len(refs[i])))
     for i in range(0, len(order), 8 * BATCH):
@@ -576,13 +576,15 @@ def align_many(reads: list[np.ndarray], refs: list[np.ndarray], pen: list[np.nda
 
 def alignments(a: Aligner, least: int, chunk: int, reach: int):
     """Alignments of candidates with the contig they begin in, rows without a score for those beyond the limit, and the reads that are done."""
-    least_gap = min(phred(a.gap_extension), phred(a.gap_extension if a.gap_open is None else a.gap_open))
+    opn, ext = phred(a.gap_extension if a.gap_open is None else a.gap_open), phred(a.gap_extension)
+    # an aligner's cached method would need the package on the executors, so it travels only where it is called
+    mat, most, single = a.matrices()[0], a.max_penalty_per_nuc, None if a.mean_overhang is None else partial(align, a=a)
 
     def aligned(blocks):
         ids, start, width, ref_at, o, size, n, m, raw, quality = merged(blocks[READS])
         n, m = n.astype(np.int64), m.astype(np.int64)
         values, q = np.unique(np.r_[quality, 30], return_inverse=True)
-        pen = penalties(a, values)
+        pen = penalties(mat, values)
         none = q[-1]
         c = codes(raw.tobytes().decode("latin-1"))
         at = starts_of(n)
@@ -591,10 +593,10 @@ def alignments(a: Aligner, least: int, chunk: int, reach: int):
         have = m >= 0
         score[ragged(at[have], m[have])] = q[:-1]
         own = np.diagonal(pen, axis1=1, axis2=2)
-        sure = ((pen <= own[:, :, None] + 1e-9).sum(axis=2) == 1) & (own < least_gap)
+        sure = ((pen <= own[:, :, None] + 1e-9).sum(axis=2) == 1) & (own < min(opn, ext))
         sure[:, [x for x in range(16) if x not in (1, 2, 4, 8)]] = False
         total = np.add.reduceat(own[score, c], at)
-        exact = np.logical_and.reduceat(sure[score, c], at) & (total <= a.max_penalty_per_nuc * n) & (a.mean_overhang is None)
+        exact = np.logical_and.reduceat(sure[score, c], at) & (total <= most * n) & (single is None)
         pen_rows, x = pen.reshape(-1, 16), score * 16 + c
         where = contigs_of(blocks.get(PLACES, []))
         rows: list = [None] * len(ids)
@@ -619,13 +621,14 @@ def alignments(a: Aligner, least: int, chunk: int, reach: int):
             j = ref.find(s) if exact[i] else -1
             if j >= 0:
                 rows[i][1] = (float(total[i]), j, j + len(s), [("M", len(s))])
-            elif a.mean_overhang is not None:
-                rows[i][1] = align(s.decode("latin-1"), None if m[i] < 0 else (values[score[at[i] : at[i] + n[i]]]).tolist(), ref.decode("latin-1"), a, a.max_penalty_per_nuc * len(s))
+            elif single is not None:
+                q_ = None if m[i] < 0 else values[score[at[i] : at[i] + n[i]]].tolist()
+                rows[i][1] = single(s.decode("latin-1"), q_, ref.decode("latin-1"), limit=most * len(s))
             else:
                 left.append(i)
                 reads.append(x[at[i] : at[i] + n[i]])
                 refs.append(codes(ref.decode("latin-1")))
-        for i, got in zip(left, align_many(reads, refs, pen_rows, a, a.max_penalty_per_nuc * n[left]), strict=True):
+        for i, got in zip(left, align_many(reads, refs, pen_rows, opn, ext, most * n[left]), strict=True):
             rows[i][1] = got
         out = []
         for i, (is_back, got, marks) in enumerate(rows):

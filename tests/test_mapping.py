@@ -243,7 +243,7 @@ def test_many_alignments_at_once():
     refs.append("ACGT")
     for a in (al.Aligner(max_penalty_per_nuc=1.0), al.Aligner(gap_open=0.001, gap_extension=0.05, ds_deamination=0.02)):
         limits = np.array([a.max_penalty_per_nuc * len(x) for x in reads])
-        got = bulk.align_many([al.codes(x) for x in reads], [al.codes(x) for x in refs], bulk.penalties(a, np.array([30]))[0], a, limits)
+        got = bulk.align_many([al.codes(x) for x in reads], [al.codes(x) for x in refs], bulk.penalties(a.matrices()[0], np.array([30]))[0], al.phred(a.gap_open or a.gap_extension), al.phred(a.gap_extension), limits)
         for x, ref, limit, y in zip(reads, refs, limits, got, strict=True):
             want = al.align(x, None, ref, a, limit)
             assert (y is None) == (want is None) and (y is None or (y[0] == pytest.approx(want[0]) and y[1:] == want[1:]))
